@@ -1,0 +1,69 @@
+"""From yearly class tables to conversions, follow-up classes and the cell mask."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from landtrace.functions.text import point_text
+from landtrace.operators.cycles import CELL, cycle_bounds, number_cycles, segment_cycles
+from landtrace.operators.ids import surrogate_ids
+from landtrace.operators.panel import ever_class, year_bands
+from landtrace.operators.polygons import nearest_polygon
+from landtrace.operators.series import band_series, gather_series, series_classes, series_cycles
+from landtrace.spec import ConversionSpec
+
+
+def select_candidate_cells(wide: DataFrame, spec: ConversionSpec, prefix: str = "classification") -> DataFrame:
+    """Cells that were ever natural and ever agriculture, in any order. A row-local filter."""
+    bands = list(year_bands(wide, prefix).values())
+    return wide.filter(ever_class(bands, spec.natural) & ever_class(bands, spec.agriculture))
+
+
+def conversion_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
+    """Conversions of a long panel, by windows over one exchange on the cell."""
+    return number_cycles(cycle_bounds(segment_cycles(panel, spec, keys), spec, keys), keys)
+
+
+def conversion_classes(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
+    """Classes during and after each conversion of a long panel, over one exchange."""
+    return series_classes(gather_series(panel, keys), F.col("series"), spec, keys)
+
+
+def wide_conversion_cycles(
+    wide: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, prefix: str = "classification"
+) -> DataFrame:
+    """Conversions of a wide table; no shuffle."""
+    cells = select_candidate_cells(wide, spec, prefix)
+    return series_cycles(cells, band_series(year_bands(wide, prefix)), spec, keys)
+
+
+def wide_conversion_classes(
+    wide: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, prefix: str = "classification"
+) -> DataFrame:
+    """Follow-up classes of a wide table; no shuffle."""
+    cells = select_candidate_cells(wide, spec, prefix)
+    return series_classes(cells, band_series(year_bands(wide, prefix)), spec, keys)
+
+
+def with_cell_ids(df: DataFrame, mask: DataFrame) -> DataFrame:
+    """Global ``cell_id`` for rows keyed by tile and cell number; cells off the mask drop out.
+
+    Joining after the cycles were found moves the conversions only, not the year bands.
+    """
+    ids = mask.select("tile_id", "tile_cell_id", "cell_id")
+    return df.join(ids, ["tile_id", "tile_cell_id"]).drop("tile_cell_id")
+
+
+def extract_mask(
+    mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, decimals: int | None = None
+) -> DataFrame:
+    """Mask cells with a global id, the nearest municipality and the point as text."""
+    cells = mask_wide.filter(F.col("area") != 0)
+    placed = surrogate_ids(nearest_polygon(cells, edges, bucket).drop("distance"))
+    return placed.select(
+        "cell_id", "tile_id", "tile_cell_id", "area", F.col("poly_id").alias("code_muni"), "x", "y",
+        point_text(F.col("x"), F.col("y"), decimals).alias("coords"),
+    )
