@@ -43,11 +43,14 @@ def unmatched_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def at_lag(c_length: DataFrame, c_classes: DataFrame, lag: int, keys: Sequence[str], cycle: int = 1) -> DataFrame:
-    """Class found ``lag`` years after establishment, for one conversion of each cell."""
+    """Class found ``lag`` years after establishment, for one conversion of each cell.
+
+    With the cycle fixed the cell alone is the join key, which both sides are clustered by.
+    """
     starts = c_length.filter(F.col("agri_cycle") == cycle).select(*keys, "agri_cycle", "agri_code", "agri_year")
-    found = c_classes.filter(F.col("agri_cycle") == cycle)
+    found = c_classes.filter(F.col("agri_cycle") == cycle).select(*keys, "year", "class_code")
     return (
-        starts.join(found, [*keys, "agri_cycle"])
+        starts.join(found, list(keys))
         .withColumn("year", F.col("year") - F.col("agri_year"))
         .filter(F.col("year") == lag)
         .drop("agri_year")

@@ -29,12 +29,14 @@ def bands_to_rows(df: DataFrame, id_cols: Sequence[str], prefix: str = "classifi
 def rows_to_bands(
     panel: DataFrame, years: Sequence[int], id_cols: Sequence[str], prefix: str = "classification"
 ) -> DataFrame:
-    """One row per cell; absent years are 0. The aggregate combines map-side."""
-    bands = [
-        F.coalesce(F.min(F.when(F.col("year") == y, F.col("class_code"))), F.lit(0)).alias(f"{prefix}_{y}")
-        for y in years
-    ]
-    return panel.groupBy(*id_cols).agg(*bands)
+    """One row per cell; absent years are 0.
+
+    A pivot with given values: (cell, year) is reduced map-side first, then spread out. One
+    conditional aggregate per year would generate a method too large for the JIT compiler.
+    """
+    spread = panel.groupBy(*id_cols).pivot("year", list(years)).agg(F.min("class_code"))
+    named = spread.withColumnsRenamed({str(y): f"{prefix}_{y}" for y in years})
+    return named.fillna(0, subset=[f"{prefix}_{y}" for y in years])
 
 
 def measures_to_rows(df: DataFrame, cols: Sequence[str], name: str, value: str) -> DataFrame:

@@ -19,6 +19,7 @@ from landtrace.functions.geometry import great_circle, segment_sq_distance
 
 EDGE = ["x1", "y1", "x2", "y2"]
 BRANCH = 8
+NOWHERE = -(2**62)
 
 
 def _between(low: Column, high: Column) -> Column:
@@ -98,7 +99,14 @@ def _holding(polys: Column, x: Column, y: Column, cx: Column, cy: Column) -> Col
 
 
 def _in_cell(points: DataFrame, bucket: float) -> DataFrame:
-    return points.withColumns({"bx": bucket_of(F.col("x"), bucket), "by": bucket_of(F.col("y"), bucket)})
+    """Add the cell of each point; a missing coordinate gets a cell that no edge reaches.
+
+    Never being NULL, the join keys need no ``IS NOT NULL`` filter. Spark would push that,
+    with the whole computation of the coordinates, down to the scan of the source.
+    """
+    return points.withColumns({
+        b: F.coalesce(bucket_of(F.col(c), bucket), F.lit(NOWHERE)) for b, c in (("bx", "x"), ("by", "y"))
+    })
 
 
 def _found(bucket: float) -> Column:
@@ -112,6 +120,12 @@ def points_inside(points: DataFrame, edges: DataFrame, bucket: float = 1.0) -> D
     return found.select(*points.columns, F.explode(_found(bucket)).alias("poly_id"))
 
 
+def reach(points: DataFrame) -> float:
+    """Largest absolute coordinate, from a one-row aggregate (the only action in here)."""
+    top = points.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
+    return max(float(top or 0.0) * (1 + 1e-9), 1e-9)
+
+
 def nearest_edges(points: DataFrame, edges: DataFrame, bucket: float, extent: float) -> DataFrame:
     """Per occupied cell all edges that can be the nearest one of some point in the cell.
 
@@ -120,11 +134,13 @@ def nearest_edges(points: DataFrame, edges: DataFrame, bucket: float, extent: fl
     Cells are refined from four quadrants down, each keeping from its parent's edges those
     within that distance, so far-away edges drop out early and nothing is lost.
     """
-    levels = max(1, math.ceil(math.log(extent / bucket, BRANCH)))
+    levels = max(1, math.ceil(math.log(extent / bucket, BRANCH) + 1e-9))
     quadrants = [F.struct(F.lit(i).cast("bigint").alias("px"), F.lit(j).cast("bigint").alias("py"))
                  for i in (-1, 0) for j in (-1, 0)]
     kept = edges.select("poly_id", *EDGE, F.inline(F.array(*quadrants)))
-    cells = _in_cell(points.select("x", "y"), bucket).select("bx", "by").distinct()
+    known = F.greatest(F.abs("x"), F.abs("y")) <= extent
+    cells = points.select("x", "y").filter(known | F.assert_true(known, F.lit("point outside extent")).isNull())
+    cells = _in_cell(cells, bucket).select("bx", "by").distinct()
     for level in reversed(range(levels)):
         size, up = bucket * BRANCH**level, BRANCH**level
         here = cells.select(F.floor(F.col("bx") / up).alias("cx"), F.floor(F.col("by") / up).alias("cy"))
@@ -138,25 +154,34 @@ def nearest_edges(points: DataFrame, edges: DataFrame, bucket: float, extent: fl
         kept = near.join(closest, ["cx", "cy"]).filter(
             F.col("d") <= (F.col("closest") + size * math.sqrt(2)) * (1 + 1e-9)
         ).select("poly_id", *EDGE, F.col("cx").alias("px"), F.col("cy").alias("py"))
-    return kept.groupBy(F.col("px").alias("bx"), F.col("py").alias("by")).agg(
-        F.collect_list(F.struct("poly_id", *EDGE)).alias("near")
+    run, rise = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    edge = F.struct(
+        "poly_id", "x1", "y1", run.alias("run"), rise.alias("rise"), (run * run + rise * rise).alias("size")
     )
+    return kept.groupBy(F.col("px").alias("bx"), F.col("py").alias("by")).agg(F.collect_list(edge).alias("near"))
 
 
 def nearest_polygon(
-    points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float = 512.0
+    points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None
 ) -> DataFrame:
     """Each point once, with its nearest polygon and the distance (0 inside one).
 
-    The smallest ``poly_id`` wins a tie. Coordinates lie within +-``extent``.
+    The smallest ``poly_id`` wins a tie. ``extent`` bounds the coordinates (180 for degrees);
+    a point beyond it is an error. It is measured when not given.
     """
+    extent = extent or reach(points)
     index = polygon_index(edges, bucket)
     near = nearest_edges(points, edges, bucket, extent)
     found = _in_cell(points, bucket).join(near, ["bx", "by"], "left").join(index, ["bx", "by"], "left")
-    ranked = F.transform("near", lambda e: F.struct(
-        segment_sq_distance(F.col("x"), F.col("y"), *[e[c] for c in EDGE]).alias("d"),
-        e.poly_id.alias("poly_id"),
+    x, y = F.col("x"), F.col("y")
+    along = F.transform("near", lambda e: F.struct(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(
+            (x - e.x1) * e.run + (y - e.y1) * e.rise, e["size"]))).alias("t"), e.alias("e"),
+    ))
+    off = F.transform(along, lambda a: F.struct(
+        (x - (a.e.x1 + a.t * a.e.run)).alias("x"), (y - (a.e.y1 + a.t * a.e.rise)).alias("y"), a.e.poly_id.alias("poly_id"),
     ))
+    ranked = F.transform(off, lambda o: F.struct((o.x * o.x + o.y * o.y).alias("d"), o.poly_id.alias("poly_id")))
     home = F.array_min(_found(bucket))
     best = F.coalesce(
         F.when(home.isNotNull(), F.struct(F.lit(0.0).alias("d"), home.alias("poly_id"))), F.array_min(ranked)

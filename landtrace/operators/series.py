@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landtrace.functions.values import in_codes
 from landtrace.operators.cycles import CELL
 from landtrace.spec import ConversionSpec
 
@@ -21,11 +20,10 @@ _CYCLE = "array<struct<agri_code:int,forest_year:int,agri_year:int,c_cycle:int>>
 
 def band_series(bands: Mapping[int, str]) -> Column:
     """Present (non-zero) years of a wide row in order, as ``array<struct<year, class_code>>``."""
-    cells = [
-        F.struct(F.lit(year).alias("year"), F.col(bands[year]).cast("int").alias("class_code"))
-        for year in sorted(bands)
-    ]
-    return F.filter(F.array(*cells), lambda c: c.class_code != 0)
+    cells = ", ".join(
+        f"named_struct('year', {year}, 'class_code', cast(`{bands[year]}` as int))" for year in sorted(bands)
+    )
+    return F.expr(f"filter(array({cells}), c -> c.class_code != 0)")
 
 
 def gather_series(panel: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -34,40 +32,32 @@ def gather_series(panel: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return panel.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("series"))
 
 
-def fold_cycles(years: Column, spec: ConversionSpec) -> Column:
-    """All complete cycles of a series as an array of structs."""
-    none = F.lit(None).cast("int")
-    start = F.struct(
-        F.lit(1).alias("cycle"), F.lit(False).alias("was_anthropic"),
-        none.alias("forest"), none.alias("agri"), none.alias("code"),
-        F.array().cast(_CYCLE).alias("closed"),
-    )
+def fold_cycles(series: str, spec: ConversionSpec) -> Column:
+    """All complete cycles in array column ``series``, as an array of structs.
 
-    def close(state: Column) -> Column:
-        cycle = F.struct(
-            state.code.alias("agri_code"), (state.forest + 1).alias("forest_year"),
-            state.agri.alias("agri_year"), state.cycle.alias("c_cycle"),
-        )
-        whole = state.forest.isNotNull() & state.agri.isNotNull()
-        return F.when(whole, F.concat(state.closed, F.array(cycle))).otherwise(state.closed)
-
-    def step(state: Column, cell: Column) -> Column:
-        year, code = cell.year, cell.class_code
-        natural = in_codes(code, spec.natural)
-        agriculture = in_codes(code, spec.agriculture)
-        opens = natural & state.was_anthropic
-        first_agri = agriculture & (opens | state.agri.isNull())
-        return F.struct(
-            (state.cycle + opens.cast("int")).alias("cycle"),
-            F.when(in_codes(code, spec.anthropic), True).when(natural, False)
-            .otherwise(state.was_anthropic).alias("was_anthropic"),
-            F.when(natural, year).otherwise(state.forest).alias("forest"),
-            F.when(first_agri, year).when(~opens, state.agri).alias("agri"),
-            F.when(first_agri, code).when(~opens, state.code).alias("code"),
-            F.when(opens, close(state)).otherwise(state.closed).alias("closed"),
-        )
-
-    return F.aggregate(years, start, step, close)
+    The state ``s`` of the fold holds the open cycle: its number, whether the last marked
+    year was anthropic, the last natural year and the first agriculture year and class.
+    """
+    natural, anthropic, agriculture = (
+        f"v.class_code in ({', '.join(map(str, codes))})"
+        for codes in (spec.natural, spec.anthropic, spec.agriculture)
+    )
+    opens = f"({natural} and s.was_anthropic)"
+    first = f"({agriculture} and ({opens} or s.agri is null))"
+    closed = f"""case when s.forest is not null and s.agri is not null
+        then concat(s.closed, array(named_struct('agri_code', s.code, 'forest_year', s.forest + 1,
+                                                 'agri_year', s.agri, 'c_cycle', s.cycle)))
+        else s.closed end"""
+    start = f"""named_struct('cycle', 1, 'was_anthropic', false, 'forest', cast(null as int),
+        'agri', cast(null as int), 'code', cast(null as int), 'closed', cast(array() as {_CYCLE}))"""
+    step = f"""named_struct(
+        'cycle', s.cycle + int({opens}),
+        'was_anthropic', case when {anthropic} then true when {natural} then false else s.was_anthropic end,
+        'forest', if({natural}, v.year, s.forest),
+        'agri', case when {first} then v.year when not {opens} then s.agri end,
+        'code', case when {first} then v.class_code when not {opens} then s.code end,
+        'closed', if({opens}, {closed}, s.closed))"""
+    return F.expr(f"aggregate(`{series}`, {start}, (s, v) -> {step}, s -> {closed})")
 
 
 def series_cycles(
@@ -75,7 +65,8 @@ def series_cycles(
     keys: Sequence[str] = CELL, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Conversion table of the cells in ``rows``; ``keep`` columns are carried along."""
-    cycles = rows.select(*keys, *keep, F.posexplode(fold_cycles(series, spec)).alias("pos", "c"))
+    rows = rows.select(*keys, *keep, series.alias("_s"))
+    cycles = rows.select(*keys, *keep, F.posexplode(fold_cycles("_s", spec)).alias("pos", "c"))
     return cycles.select(
         *keys, *keep, "c.agri_code", "c.forest_year", "c.agri_year",
         (F.col("c.agri_year") - F.col("c.forest_year")).alias("c_length"), "c.c_cycle",
@@ -91,7 +82,7 @@ def series_classes(
     """Classes during and after every conversion; later cycles may see a year again."""
     rows = rows.select(*keys, *keep, series.alias("_s"))
     rows = rows.select(
-        *keys, *keep, "_s", F.posexplode(fold_cycles(F.col("_s"), spec)).alias("pos", "c")
+        *keys, *keep, "_s", F.posexplode(fold_cycles("_s", spec)).alias("pos", "c")
     )
     inside = F.filter(
         "_s",

@@ -58,11 +58,12 @@ def with_cell_ids(df: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def extract_mask(
-    mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, decimals: int | None = None
+    mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Mask cells with a global id, the nearest municipality and the point as text."""
     cells = mask_wide.filter(F.col("area") != 0)
-    placed = surrogate_ids(nearest_polygon(cells, edges, bucket).drop("distance"))
+    placed = surrogate_ids(nearest_polygon(cells, edges, bucket, extent).drop("distance"))
     return placed.select(
         "cell_id", "tile_id", "tile_cell_id", "area", F.col("poly_id").alias("code_muni"), "x", "y",
         point_text(F.col("x"), F.col("y"), decimals).alias("coords"),
