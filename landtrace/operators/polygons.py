@@ -162,16 +162,19 @@ def nearest_edges(points: DataFrame, edges: DataFrame, bucket: float, extent: fl
 
 
 def nearest_polygon(
-    points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None
+    points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None,
+    around: DataFrame | None = None,
 ) -> DataFrame:
     """Each point once, with its nearest polygon and the distance (0 inside one).
 
     The smallest ``poly_id`` wins a tie. ``extent`` bounds the coordinates (180 for degrees);
-    a point beyond it is an error. It is measured when not given.
+    a point beyond it is an error. It is measured when not given. ``around`` may name a
+    cheaper table with the same coordinates, from which the occupied cells are found.
     """
-    extent = extent or reach(points)
+    around = points if around is None else around
+    extent = extent or reach(around)
     index = polygon_index(edges, bucket)
-    near = nearest_edges(points, edges, bucket, extent)
+    near = nearest_edges(around, edges, bucket, extent)
     found = _in_cell(points, bucket).join(near, ["bx", "by"], "left").join(index, ["bx", "by"], "left")
     x, y = F.col("x"), F.col("y")
     along = F.transform("near", lambda e: F.struct(

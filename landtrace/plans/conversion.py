@@ -63,7 +63,7 @@ def extract_mask(
 ) -> DataFrame:
     """Mask cells with a global id, the nearest municipality and the point as text."""
     cells = mask_wide.filter(F.col("area") != 0)
-    placed = surrogate_ids(nearest_polygon(cells, edges, bucket, extent).drop("distance"))
+    placed = nearest_polygon(surrogate_ids(cells), edges, bucket, extent, around=cells)
     return placed.select(
         "cell_id", "tile_id", "tile_cell_id", "area", F.col("poly_id").alias("code_muni"), "x", "y",
         point_text(F.col("x"), F.col("y"), decimals).alias("coords"),

@@ -81,7 +81,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       from c_length c join panel p on p.cell_id = c.cell_id and p.year > c.forest_year and p.year <= c.agri_year + 5"""),
     "mask": ((), """select p_partkey as cell_id,
         cast(((p_partkey % 50) // 10) + 5 * ((p_partkey // 50) // 10) + 1 as int) as tile_id,
-        cast(((p_partkey // 50) % 10) * 10 + (p_partkey % 10) + 1 as int) as tile_cell_id,
+        cast((9 - (p_partkey // 50) % 10) * 10 + (p_partkey % 10) + 1 as int) as tile_cell_id,
         cast(p_retailprice as decimal(18, 4)) as area, cast(p_partkey % 25 as int) as code_muni,
         cast(p_partkey % 50 as double) / 10 + cast(0.05 as double) as x,
         cast(p_partkey // 50 as double) / 10 + cast(0.05 as double) as y

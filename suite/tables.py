@@ -1,7 +1,7 @@
 """Land-cover style views over the given tables.
 
 Line items become yearly classes of a cell (a part), parts become pixels of tiles of
-10 x 10 cells on a grid 50 cells wide, nations become administrative polygons.
+10 x 10 cells (numbered from the north-west) on a grid 50 cells wide, nations become administrative polygons.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Tables:
         return self.read("part").select(
             key.alias("cell_id"),
             (F.floor(col / 10) + 5 * F.floor(row / 10) + 1).cast("int").alias("tile_id"),
-            ((row % 10) * 10 + key % 10 + 1).cast("int").alias("tile_cell_id"),
+            ((9 - row % 10) * 10 + key % 10 + 1).cast("int").alias("tile_cell_id"),
             F.col("p_retailprice").cast("decimal(18,4)").alias("area"),
             (key % 25).cast("int").alias("code_muni"),
             (col.cast("double") / 10 + 0.05).alias("x"),
