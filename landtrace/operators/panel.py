@@ -67,6 +67,17 @@ def ever_class(bands: Sequence[str], codes: Sequence[int]) -> Column:
     return F.exists(F.array(*[F.col(b) for b in bands]), lambda v: F.coalesce(in_codes(v, codes), F.lit(False)))
 
 
+def mask_cells(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a condition over many bands, all bands kept.
+
+    The condition (0 or 1) gets a random number in [0, 1) added and is held against 1, which
+    does not change it but keeps the optimizer from propagating it. It would otherwise derive
+    one variant per subset of renamed bands, which no driver survives for dozens of bands.
+    Filters on partition columns belong before this step.
+    """
+    return df.filter(condition.cast("int") + F.rand(0) >= 1)
+
+
 def shift_columns(df: DataFrame, cols: Sequence[str], by: int) -> DataFrame:
     return df.withColumns({c: F.col(c) - by for c in cols})
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from landtrace.functions.text import point_text
 from landtrace.operators.cycles import CELL, cycle_bounds, number_cycles, segment_cycles
 from landtrace.operators.ids import surrogate_ids
-from landtrace.operators.panel import ever_class, year_bands
+from landtrace.operators.panel import ever_class, mask_cells, year_bands
 from landtrace.operators.polygons import nearest_polygon
 from landtrace.operators.series import band_series, gather_series, series_classes, series_cycles
 from landtrace.spec import ConversionSpec
@@ -19,7 +19,7 @@ from landtrace.spec import ConversionSpec
 def select_candidate_cells(wide: DataFrame, spec: ConversionSpec, prefix: str = "classification") -> DataFrame:
     """Cells that were ever natural and ever agriculture, in any order. A row-local filter."""
     bands = list(year_bands(wide, prefix).values())
-    return wide.filter(ever_class(bands, spec.natural) & ever_class(bands, spec.agriculture))
+    return mask_cells(wide, ever_class(bands, spec.natural) & ever_class(bands, spec.agriculture))
 
 
 def conversion_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
@@ -36,16 +36,14 @@ def wide_conversion_cycles(
     wide: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, prefix: str = "classification"
 ) -> DataFrame:
     """Conversions of a wide table; no shuffle."""
-    cells = select_candidate_cells(wide, spec, prefix)
-    return series_cycles(cells, band_series(year_bands(wide, prefix)), spec, keys)
+    return series_cycles(wide, band_series(year_bands(wide, prefix)), spec, keys)
 
 
 def wide_conversion_classes(
     wide: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, prefix: str = "classification"
 ) -> DataFrame:
     """Follow-up classes of a wide table; no shuffle."""
-    cells = select_candidate_cells(wide, spec, prefix)
-    return series_classes(cells, band_series(year_bands(wide, prefix)), spec, keys)
+    return series_classes(wide, band_series(year_bands(wide, prefix)), spec, keys)
 
 
 def with_cell_ids(df: DataFrame, mask: DataFrame) -> DataFrame:
