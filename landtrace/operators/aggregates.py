@@ -96,16 +96,15 @@ def value_range(df: DataFrame, bands: Sequence[str]) -> DataFrame:
 def shares(df: DataFrame, group: Sequence[str], count_col: str) -> DataFrame:
     """Percent of each row within its group and of each group within the whole.
 
-    Meant for counted tables. The grand total is a scalar subquery over the same counts
-    (the exchange is reused), not an unpartitioned window.
+    Takes a finished crosstab - at most one row per pair of classes of the legend - so both
+    sums are windows over it and the counts are computed once.
     """
-    count = F.col(count_col)
-    of_group = Window.partitionBy(*group)
-    whole = df.agg(F.sum(count_col)).scalar()
-    return df.withColumn("_t", F.sum(count).over(of_group)).select(
+    of_group, of_all = Window.partitionBy(*group), Window.partitionBy(F.lit(0))
+    sums = df.withColumns({"_t": F.sum(count_col).over(of_group), "_all": F.sum(count_col).over(of_all)})
+    return sums.select(
         *df.columns,
-        (count / F.col("_t") * 100).alias("perc"),
-        (F.col("_t") / whole * 100).alias("total_perc"),
+        (F.col(count_col) / F.col("_t") * 100).alias("perc"),
+        (F.col("_t") / F.col("_all") * 100).alias("total_perc"),
     )
 
 

@@ -18,7 +18,7 @@ from landtrace.functions.geometry import bucket as bucket_of
 from landtrace.functions.geometry import great_circle, segment_sq_distance
 
 EDGE = ["x1", "y1", "x2", "y2"]
-BRANCH = 8
+BRANCH = 16
 NOWHERE = -(2**62)
 
 

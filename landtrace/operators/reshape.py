@@ -11,8 +11,9 @@ from landtrace.functions.values import rank_of
 
 
 def crosstab_percent(df: DataFrame, rows: Sequence[str], col: str, value: str, values: Sequence[str]) -> DataFrame:
-    """One column per listed category; the list is given, so no extra job looks for it."""
-    return df.groupBy(*rows).pivot(col, list(values)).agg(F.first(value, ignorenulls=True))
+    """One column per listed category. The list is given, so no extra job looks for it, and
+    a crosstab of counted classes is small enough for plain conditional aggregates."""
+    return df.groupBy(*rows).agg(*[F.max(F.when(F.col(col) == v, F.col(value))).alias(str(v)) for v in values])
 
 
 def in_category_order(df: DataFrame, cols: Sequence[str], ordered: Sequence[str]) -> DataFrame:
