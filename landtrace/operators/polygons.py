@@ -174,8 +174,8 @@ def nearest_polygon(
     around = points if around is None else around
     extent = extent or reach(around)
     index = polygon_index(edges, bucket)
-    near = nearest_edges(around, edges, bucket, extent)
-    found = _in_cell(points, bucket).join(near, ["bx", "by"], "left").join(index, ["bx", "by"], "left")
+    index = nearest_edges(around, edges, bucket, extent).join(index, ["bx", "by"], "left")
+    found = _in_cell(points, bucket).join(index, ["bx", "by"], "left")
     x, y = F.col("x"), F.col("y")
     along = F.transform("near", lambda e: F.struct(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(

@@ -100,8 +100,8 @@ def mosaic(
 
 def tile_offsets(meta: DataFrame) -> DataFrame:
     """Row and column offset of each tile in the common grid, from the extents."""
-    edges = meta.agg(F.min("x_min").alias("x0"), F.max("y_max").alias("y0"))
-    x0, y0 = edges.select("x0").scalar(), edges.select("y0").scalar()
+    corner = meta.agg(F.struct(F.min("x_min").alias("x"), F.max("y_max").alias("y"))).scalar()
+    x0, y0 = corner["x"], corner["y"]
     dx = (F.col("x_max") - F.col("x_min")) / F.col("n_col")
     dy = (F.col("y_max") - F.col("y_min")) / F.col("n_row")
     return meta.select(

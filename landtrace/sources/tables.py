@@ -24,20 +24,17 @@ def write_single(df: DataFrame, path: str) -> None:
 
 
 def write_tiles(
-    df: DataFrame, path: str, by: Sequence[str] = ("tile_id",), spread: str = "cell_id",
-    files_per_tile: int = 1, max_records: int = 20_000_000, mode: str = "overwrite",
+    df: DataFrame, path: str, by: Sequence[str] = ("tile_id",), max_records: int = 20_000_000,
+    mode: str = "overwrite",
 ) -> None:
-    """Hive-partitioned write.
+    """Hive-partitioned write; a folder exists only for groups that have rows.
 
-    Rows are clustered by the partition columns so that a tile is written by one task and
-    not by all of them. ``files_per_tile`` > 1 salts the clustering by the hash of
-    ``spread`` and so divides tiles too heavy for one task.
+    The ``rebalance`` hint clusters rows by the partition columns, so that a tile is not
+    written in pieces by every task. Adaptive execution then splits the tiles that are too
+    heavy for one task and joins the light ones.
     """
-    cluster = [F.col(c) for c in by]
-    if files_per_tile > 1:
-        cluster.append(F.pmod(F.hash(F.col(spread)), F.lit(files_per_tile)))
     (
-        df.repartition(*cluster)
+        df.hint("rebalance", *[F.col(c) for c in by])
         .write.mode(mode).option("maxRecordsPerFile", max_records)
         .partitionBy(*by).parquet(path)
     )

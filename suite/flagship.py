@@ -28,6 +28,14 @@ def _(t):
     return conversion.wide_conversion_cycles(t.wide, t.spec)
 
 
+@query("p01_conversion_cycles_tiles", sql("select * from tiled", "tiled"))
+def _(t):
+    place = t.mask.select("cell_id", "tile_id", "tile_cell_id")
+    bands = t.wide.join(place, "cell_id").drop("cell_id")
+    cycles = conversion.wide_conversion_cycles(bands, t.spec, keys=("tile_id", "tile_cell_id"))
+    return conversion.with_cell_ids(cycles, t.mask)
+
+
 @query("p01_conversion_cycles_events", sql(f"select {LENGTH} from ev_length", "ev_length"))
 def _(t):
     return conversion.conversion_cycles(t.panel_events, t.spec)

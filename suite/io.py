@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtrace.operators.panel import drop_empty_cells
+from landtrace.functions.text import point_text, point_xy
+from landtrace.operators.panel import drop_empty_cells, null_sentinels
 from landtrace.operators.tiles import tile_metadata
 from landtrace.plans.summaries import followup_counts
 from landtrace.plans.validation import draw_validation_sample
-from landtrace.functions.text import point_text, point_xy
 from landtrace.sources import catalog, csvfiles, tables
 from landtrace.sources.scratch import scratch_path
 from suite.flagship import SAMPLE
@@ -49,8 +49,6 @@ def _(t):
 
 @query("s04_csv_read", sql("select * from clean", "clean"))
 def _(t):
-    from landtrace.operators.panel import null_sentinels
-
     clean = null_sentinels(t.observed, ("forest_year", "agri_year"), "c_length")
     text = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("NA")), F.lit(" ")).alias(c) for c in clean.columns]
     return write_then(
@@ -97,7 +95,7 @@ def _(t):
 def _(t):
     rows = t.c_classes.join(t.mask.select("cell_id", "tile_id"), "cell_id")
     return write_then(
-        t, "c_classes", lambda p: tables.write_tiles(rows, p, ("tile_id", "agri_cycle"), files_per_tile=2)
+        t, "c_classes", lambda p: tables.write_tiles(rows, p, ("tile_id", "agri_cycle"))
     )
 
 

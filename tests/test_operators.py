@@ -235,3 +235,21 @@ def test_densify_and_unmatched(spark):
     assert rows(joins.densify(df, skeleton, ["t"], "n", "c")) == [(1, 1, None), (1, 2, "x"), (1, 3, None)]
     left = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert rows(joins.unmatched_keys(left, left.filter("k = 2"), "k")) == [(1,)]
+
+
+def test_heavy_tile_is_written_by_several_tasks(spark):
+    path = scratch_path(spark, "heavy")
+    df = spark.range(0, 400_000, 1, 8).select(
+        F.col("id").alias("cell_id"), F.md5(F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20 + 2).cast("int").alias("tile_id"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1MB")
+    try:
+        tables.write_tiles(df, path)
+    finally:
+        spark.conf.set(key, old)
+    files = catalog.list_files(spark, path, "*.parquet").select(F.regexp_extract("path", "tile_id=([0-9]+)", 1).alias("t"))
+    per_tile = {r.t: r["count"] for r in files.groupBy("t").count().collect()}
+    assert per_tile["1"] > 1 and len(per_tile) == 21
+    assert tables.read_table(spark, path).count() == 400_000
