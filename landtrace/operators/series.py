@@ -1,8 +1,8 @@
 """Conversion cycles when the whole series of a cell lies in one row.
 
-The series is an array of (year, class) in year order. Built from the wide layout (one
-column per year) it costs no shuffle at all: cycles and follow-up classes are a fold
-over the array and an ``explode``. Built from a long panel it costs one exchange.
+The series is an array of (year, class) in year order, built from the wide layout (one
+column per year). Cycles and follow-up classes are a fold over the array and an
+``explode``, without any shuffle.
 """
 
 from __future__ import annotations
@@ -26,17 +26,12 @@ def band_series(bands: Mapping[int, str]) -> Column:
     return F.expr(f"filter(array({cells}), c -> c.class_code != 0)")
 
 
-def gather_series(panel: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """One row per cell with its ``series``; at most one entry per mapped year."""
-    cell = F.struct("year", "class_code")
-    return panel.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("series"))
-
-
 def fold_cycles(series: str, spec: ConversionSpec) -> Column:
     """All complete cycles in array column ``series``, as an array of structs.
 
     The state ``s`` of the fold holds the open cycle: its number, whether the last marked
     year was anthropic, the last natural year and the first agriculture year and class.
+    Cells without both a natural and an agriculture year are not folded.
     """
     natural, anthropic, agriculture = (
         f"v.class_code in ({', '.join(map(str, codes))})"
@@ -57,7 +52,9 @@ def fold_cycles(series: str, spec: ConversionSpec) -> Column:
         'agri', case when {first} then v.year when not {opens} then s.agri end,
         'code', case when {first} then v.class_code when not {opens} then s.code end,
         'closed', if({opens}, {closed}, s.closed))"""
-    return F.expr(f"aggregate(`{series}`, {start}, (s, v) -> {step}, s -> {closed})")
+    candidate = f"exists(`{series}`, v -> {natural}) and exists(`{series}`, v -> {agriculture})"
+    fold = f"aggregate(`{series}`, {start}, (s, v) -> {step}, s -> {closed})"
+    return F.expr(f"if({candidate}, {fold}, cast(array() as {_CYCLE}))")
 
 
 def series_cycles(

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landtrace.functions.text import point_text
-from landtrace.operators.cycles import CELL, cycle_bounds, number_cycles, segment_cycles
+from landtrace.operators.cycles import CELL, band_join, cycle_bounds, number_cycles, segment_cycles
 from landtrace.operators.ids import surrogate_ids
 from landtrace.operators.panel import ever_class, mask_cells, year_bands
 from landtrace.operators.polygons import nearest_polygon
-from landtrace.operators.series import band_series, gather_series, series_classes, series_cycles
+from landtrace.operators.series import band_series, series_classes, series_cycles
 from landtrace.spec import ConversionSpec
 
 
@@ -28,8 +28,8 @@ def conversion_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str
 
 
 def conversion_classes(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
-    """Classes during and after each conversion of a long panel, over one exchange."""
-    return series_classes(gather_series(panel, keys), F.col("series"), spec, keys)
+    """Classes during and after each conversion of a long panel, joined on the cell."""
+    return band_join(panel, conversion_cycles(panel, spec, keys), spec.after, keys)
 
 
 def wide_conversion_cycles(

