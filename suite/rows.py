@@ -238,11 +238,11 @@ def _(t):
     select cell_id, printf('%010d-%010d', tile_id, tile_cell_id) as tile_code, '2' as cycle,
       cast(null as varchar) as missing from mask""", "mask"))
 def _(t):
-    path = F.format_string("raw/mb_lulc-%010d-%010d.tif", "tile_id", "tile_cell_id")
-    stack = F.format_string("tiles/c_stack_%d_cycle_2.tif", "tile_id")
+    path = F.format_string("raw/lulc-%010d-%010d.tif", "tile_id", "tile_cell_id")
+    stack = F.format_string("tiles/stack_%d_cycle_2.tif", "tile_id")
     return t.mask.select(
-        "cell_id", text.code_after(path, "mb_lulc-").alias("tile_code"),
-        text.code_after(stack, "cycle_").alias("cycle"), text.code_after(stack, "mb_lulc-").alias("missing"),
+        "cell_id", text.code_after(path, "lulc-").alias("tile_code"),
+        text.code_after(stack, "cycle_").alias("cycle"), text.code_after(stack, "lulc-").alias("missing"),
     )
 
 
