@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landtrace.llm.chunkdedup import dedup_passages
+from landtrace.llm.common import shared_folder
+from landtrace.llm.counts import TokenLedger, copies, token_counts
+from landtrace.llm.decontam import contamination
+from landtrace.llm.licenses import scan_licences
+from landtrace.llm.linededup import line_report
 from landtrace.llm.packing import pack
 from landtrace.llm.quality import host_quality
 from landtrace.llm.sharding import kd_shards
+from landtrace.llm.simhash import near_duplicates
+from landtrace.llm.suffixdedup import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +72,100 @@ def _(spark, sf_dir):
     return host_quality(read(spark, sf_dir, "documents"))
 
 
+LINES_SQL = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null),
+l as (select doc_id, unnest(l) as line, unnest(range(len(l))) as i, len(l) as n from d),
+h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
+r as (select *, (h + 31 * coalesce(lag(h) over (partition by doc_id order by i), 0)) % 3 = 0 as ends from h),
+c as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as no from r),
+k as (select doc_id, no, string_agg(line, chr(10) order by i) as chunk, count(*) as n_lines,
+        count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) as words from c group by 1, 2),
+o as (select *, words >= 2 and row_number() over (partition by chunk order by doc_id, no) > 1 as gone from k),
+t as (select doc_id, sum(n_lines)::bigint as n_lines, coalesce(sum(n_lines) filter (gone), 0)::bigint as n_removed_lines,
+        coalesce(string_agg(chunk, chr(10) order by no) filter (not gone), '') as text from o group by 1)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed_lines, 0) as n_removed_lines, t.text
+from documents left join t using (doc_id)
+"""
+
+
+@query("op1_line_dedup", LINES_SQL)
+def _(spark, sf_dir):
+    return line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_near_dedup")
+def _(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op4_chunk_dedup")
+def _(spark, sf_dir):
+    return dedup_passages(read(spark, sf_dir, "documents"))
+
+
+LEAKS_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (select distinct item_id, g from (
+        select item_id, list_slice(w, i, i + 9) as g from (select item_id, w, unnest(range(1, len(w) - 8)) as i from b where len(w) >= 10)
+        union all select item_id, w from b where len(w) between 1 and 9)),
+dw as (select doc_id, i, n, list_slice(w, i, i + n - 1) as g from (
+        select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct len(g) as n from bw) where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from dw join bw using (g)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+          from (select distinct doc_id, item_id::varchar as item_id from hits where item_id is not null) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""
+
+
+@query("op5_benchmark_decontamination", LEAKS_SQL)
+def _(spark, sf_dir):
+    rows = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+@query("op6_token_counts")
+def _(spark, sf_dir):
+    """All documents are inserted; then copies are deleted and the others revised to count an end id.
+
+    The first batch is sent twice; the second time changes nothing.
+    """
+    folder = shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
+    counted = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    counted.write.parquet(f"{folder}/counted")
+    counted = spark.read.parquet(f"{folder}/counted").withColumn("tokenizer", F.lit("word_bpe_49k"))
+    ledger = TokenLedger(spark, folder)
+    inserts = counted.withColumns({"op": F.lit("insert"), "seq": F.lit(0)})
+    for _ in range(2):
+        ledger.commit(1, inserts)
+    revised = counted.withColumns({"op": F.lit("revise"), "seq": F.lit(0), "n_tokens": F.col("n_tokens") + 1})
+    deleted = copies(counted).withColumns({"op": F.lit("delete"), "seq": F.lit(1)})
+    ledger.commit(2, revised.unionByName(deleted))
+    return ledger.totals()
+
+
+def document_path() -> Column:
+    """Short documents lie in their source and language, the others by thousands of ids below."""
+    folder = F.when(F.col("n_chars") < 500, F.lit("")).otherwise(F.concat(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/")))
+    return F.concat("source", F.lit("/"), "lang", F.lit("/"), folder, F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+@query("op7_license_scan")
+def _(spark, sf_dir):
+    return scan_licences(read(spark, sf_dir, "documents"), document_path())
+
+
+@query("op8_suffix_dedup")
+def _(spark, sf_dir):
+    rows = dedup_substrings(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op9_kd_shards")
 def _(spark, sf_dir):
     rows = kd_shards(read(spark, sf_dir, "documents"), shards=8)
