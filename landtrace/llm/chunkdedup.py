@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from landtrace.llm.common import keyed, outer_id, ship
 
-TOP_BITS = 5
+TOP_BITS = 4
 SHORTEST, LONGEST = 16, 256
-PASSAGE = 120
-GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
+PASSAGE = 100
+GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 KEY = ["_id", "_v"]
 
 
@@ -36,14 +36,14 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     if not n:
         return []
     rolling = GEAR[data]
-    for step in (1, 2, 4, 8, 16):  # the sum over 32 bytes, each shifted by its distance
+    for step in (1, 2, 4, 8):  # the sum over 16 bytes, each shifted by its distance
         shifted = rolling.copy()
-        shifted[step:] += rolling[:-step] << np.uint32(step) if step < n else 0
+        shifted[step:] += rolling[:-step] << np.uint16(step)
         rolling = shifted
     starts = np.ones(n + 1, bool)  # a character starts here, or the text ends
     starts[:n] = (data & 0xC0) != 0x80
     ends, at = [], 0
-    for end in (np.flatnonzero((rolling >> np.uint32(32 - TOP_BITS) == 0) & starts[1:]) + 1).tolist() + [n]:
+    for end in (np.flatnonzero((rolling >> np.uint16(16 - TOP_BITS) == 0) & starts[1:]) + 1).tolist() + [n]:
         while end - at > LONGEST:
             cut = at + LONGEST
             while not starts[cut]:

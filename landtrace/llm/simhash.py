@@ -328,17 +328,21 @@ def _second_keys(plan: Plan, distance: int):
     return run
 
 
+def bit_pairs(prints: DataFrame) -> np.ndarray:
+    """How many fingerprints have both of two bits, for the 64 x 64 pairs."""
+    cells = prints.select("_fp").mapInArrow(_pair_counts, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    both = np.zeros(4096)
+    for cell, count in cells.collect():
+        both[cell] = count
+    return both.reshape(64, 64)
+
+
 EDGES = "_kind int, a long, b long, _part int, _key long"
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, most: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, most: int = BUCKET, plan: Plan | None = None) -> DataFrame:
     """Edges (a, b) between nodes that connect whatever lies within ``distance`` bits; ``prints``: (_fp, _node), each _fp once."""
-    n = prints.count()
-    cells = prints.select("_fp").mapInArrow(_pair_counts, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
-    both = np.zeros(4096)
-    for cell, count in cells.collect():  # 64 x 64 numbers
-        both[cell] = count
-    plan = make_plan(both.reshape(64, 64), n, distance)
+    plan = plan or make_plan(bit_pairs(prints), prints.count(), distance)
     rows = prints.select("_fp", "_node").mapInArrow(_signatures(plan), "_part int, _key long, _fp long, _node long")
     rows = rows.repartition("_part", "_key").sortWithinPartitions("_part", "_key")
     found = settle(rows.mapInArrow(_edges(2, distance, most), EDGES))
