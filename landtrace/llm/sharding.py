@@ -7,7 +7,7 @@ bytes. Equal values are told apart by the group's hash, so a cut lies between tw
 many of them share a value. Cuts are found by descending a histogram of the sort codes, 16 bits
 a pass; the driver sees one row per node.
 
-A NULL text has size 1. NULL metadata counts as 0. A group larger than a shard makes that shard
+A NULL text counts as an empty one, of size 1. NULL metadata counts as 0. A group larger than a shard makes that shard
 larger. Repeated rows are placed each, beside each other. An empty table gives an empty result.
 """
 
@@ -119,7 +119,7 @@ def kd_shards(
     text = F.col(text_col).cast("string")
     rows = docs.select(
         row_id(id_col).alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(text).alias("g"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("g"),
         *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, dimensions.values())],
     )
     groups = settle(rows.groupBy("g").agg(

@@ -121,13 +121,13 @@ def agreement(both: np.ndarray, n: float, bits: list[int], most: int) -> list[fl
             continue
         q = both[a, a] / n
         p11 = both[a, b] / n
-        p10, p01 = q - p11, p - p11
-        p00 = 1 - p11 - p10 - p01
+        p10, p01 = max(q - p11, 0.0), max(p - p11, 0.0)
+        p00 = max(1 - p11 - p10 - p01, 0.0)
         ss = p11**2 + p10**2 + p01**2 + p00**2
         sd = 2 * (p00 * p01 + p10 * p11)
         ds = 2 * (p00 * p10 + p01 * p11)
         dd = 2 * (p00 * p11 + p01 * p10)
-        step = np.array([[ss, sd], [ds, dd]]) / np.maximum([[ss + sd], [ds + dd]], 1e-300)
+        step = np.array([[ss, sd], [ds, dd]]) / np.maximum([[ss + sd], [ds + dd]], 1e-12)
         new = np.zeros_like(state)
         for before in (0, 1):
             new[0] += state[before] * step[before, 0]
