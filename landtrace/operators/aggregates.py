@@ -19,9 +19,13 @@ def total(col: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """The row of each key that comes first (or last) in ``order``, as an aggregate."""
+    """The row of each key that comes first (or last) in ``order``, as an aggregate.
+
+    NULLs in ``order`` come after all values, from either end.
+    """
     rest = [c for c in df.columns if c not in keys]
-    ordered = F.struct(*order, *[c for c in rest if c not in order])
+    empty = [(F.col(c).isNotNull() if last else F.col(c).isNull()).alias(f"_{c}") for c in order]
+    ordered = F.struct(*[x for pair in zip(empty, order) for x in pair], *[c for c in rest if c not in order])
     row = (F.max if last else F.min)(ordered).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
@@ -41,13 +45,15 @@ def quantile_bands(
 ) -> DataFrame:
     """Nested quantile intervals: group 1 is the outermost pair of ``probs``.
 
+    The middle one of an odd number is a last group by itself, with equal bounds.
     Values are counted first, so the exact percentile (linear interpolation) keeps one
     entry per distinct value - a bounded number for differences of years.
     """
+    probs = sorted(probs)
     levels = F.array(*[F.lit(p) for p in probs])
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     quantiles = counted.groupBy(*by).agg(F.percentile(value, levels, F.col("_n")).alias("_q"))
-    half = len(probs) // 2
+    half = (len(probs) + 1) // 2
     bands = [
         F.struct(
             F.lit(i + 1).alias("group_id"),
@@ -96,11 +102,11 @@ def value_range(df: DataFrame, bands: Sequence[str]) -> DataFrame:
 def shares(df: DataFrame, group: Sequence[str], count_col: str) -> DataFrame:
     """Percent of each row within its group and of each group within the whole.
 
-    Takes a finished crosstab - at most one row per pair of classes of the legend - so both
-    sums are windows over it and the counts are computed once.
+    The sum of a group is a window over its rows, which a finished crosstab keeps few; the
+    grand total is a combined aggregate of its own.
     """
-    of_group, of_all = Window.partitionBy(*group), Window.partitionBy(F.lit(0))
-    sums = df.withColumns({"_t": F.sum(count_col).over(of_group), "_all": F.sum(count_col).over(of_all)})
+    of_all = df.agg(F.sum(count_col)).scalar()
+    sums = df.withColumns({"_t": F.sum(count_col).over(Window.partitionBy(*group)), "_all": of_all})
     return sums.select(
         *df.columns,
         (F.col(count_col) / F.col("_t") * 100).alias("perc"),
@@ -114,10 +120,11 @@ def grouped_density(
 ) -> DataFrame:
     """Gaussian kernel density of each group at ``n`` points from ``low`` to ``high``.
 
+    Values beyond these limits are left out before anything is counted, as axis limits do.
     Rows are counted by distinct value first; the grid is generated per counted value, so
     the kernel work depends on the number of values and not on the number of rows.
     """
-    counts = histogram(df.filter(F.col(value).isNotNull()), *by, value, name="_n")
+    counts = histogram(df.filter(F.col(value).between(low, high)), *by, value, name="_n")
     step = (high - low) / (n - 1)
     kernel = F.exp(-F.pow((F.col("x") - F.col(value)) / bandwidth, 2) / 2)
     scale = bandwidth * (2 * 3.141592653589793) ** 0.5

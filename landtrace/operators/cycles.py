@@ -19,16 +19,29 @@ CELL = ("cell_id",)
 LENGTH_COLUMNS = ("agri_code", "forest_year", "agri_year", "c_length", "c_cycle", "forest_type")
 
 
-def segment_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
+def mark_classes(panel: DataFrame, classes: DataFrame) -> DataFrame:
+    """Add ``_anthropic`` by a join with a class dictionary."""
+    anthropic = classes.filter(F.col("class_type") == "anthropic").select("class_code").distinct()
+    marked = panel.join(anthropic.withColumn("_anthropic", F.lit(True)), "class_code", "left")
+    return marked.select(*panel.columns, F.coalesce("_anthropic", F.lit(False)).alias("_anthropic"))
+
+
+def segment_cycles(
+    panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, classes: DataFrame | None = None
+) -> DataFrame:
     """Add ``c_cycle``: a cycle opens at a natural year whose last marked year was anthropic.
 
-    Years of unmarked classes (mosaic, water, unknown codes) carry the mark on.
+    Years of unmarked classes (mosaic, water, unknown codes) carry the mark on. With
+    ``classes`` that dictionary says which classes are anthropic, in place of ``spec``.
     """
     code = F.col("class_code")
     natural = in_codes(code, spec.natural)
+    anthropic = in_codes(code, spec.anthropic)
+    if classes is not None:
+        panel, anthropic = mark_classes(panel, classes), F.col("_anthropic")
     series = Window.partitionBy(*keys).orderBy("year")
     was_anthropic = F.last(
-        F.when(in_codes(code, spec.anthropic), True).when(natural, False), ignorenulls=True
+        F.when(anthropic, True).when(natural, False), ignorenulls=True
     ).over(series.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.coalesce(natural & was_anthropic, F.lit(False)).cast("int")
     return (
@@ -37,7 +50,7 @@ def segment_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] =
             "c_cycle",
             (F.sum("_opened").over(series.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("int"),
         )
-        .drop("_opened")
+        .drop("_opened", "_anthropic")
     )
 
 

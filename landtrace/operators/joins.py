@@ -20,10 +20,28 @@ def decode_codes(df: DataFrame, classes: DataFrame, col: str, name: str, how: st
     return df.join(names, col, how)
 
 
-def densify(df: DataFrame, skeleton: DataFrame, keys: Sequence[str], n_col: str, cell: str) -> DataFrame:
-    """Every cell 1..``n_col`` of each skeleton row, with the matching row of ``df`` or NULLs."""
-    dense = skeleton.withColumn(cell, F.explode(F.sequence(F.lit(1), F.col(n_col))))
-    return dense.drop(n_col).join(df, [*keys, cell], "left")
+def densify(
+    df: DataFrame, skeleton: DataFrame, keys: Sequence[str], n_col: str, cell: str, chunk: int = 1_024
+) -> DataFrame:
+    """Every cell 1..``n_col`` of each skeleton row, with the matching row of ``df`` or NULLs.
+
+    The rows of ``df`` are gathered by ``chunk`` cells and joined with the chunks of the skeleton;
+    each chunk is then filled inside its own row, so no dense row is shuffled. A cell that
+    ``df`` has several times comes as often.
+    """
+    values = [c for c in df.columns if c not in (*keys, cell)]
+    found = df.groupBy(*keys, F.floor((F.col(cell) - 1) / chunk).alias("_chunk")).agg(
+        F.collect_list(F.struct(F.col(cell).cast("int").alias(cell), *values)).alias("_found"))
+    last = F.floor((F.col(n_col) - 1) / chunk)
+    chunks = skeleton.filter(F.col(n_col) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    low = (F.col("_chunk") * chunk + 1).cast("int")
+    cells = F.sequence(low, F.least(low + chunk - 1, F.col(n_col)))
+    here = F.filter(F.coalesce("_found", F.array().cast(found.schema["_found"].dataType)), lambda r: r[cell] <= F.col(n_col))
+    empty = [F.lit(None).cast(df.schema[v].dataType).alias(v) for v in values]
+    gaps = F.transform(
+        F.array_except(cells, F.transform(here, lambda r: r[cell])), lambda c: F.struct(c.alias(cell), *empty))
+    rest = [c for c in skeleton.columns if c != n_col]
+    return chunks.join(found, [*keys, "_chunk"], "left").select(*rest, F.inline(F.concat(here, gaps)))
 
 
 def cross_sequence(df: DataFrame, low: int, high: int, names: Sequence[str]) -> DataFrame:

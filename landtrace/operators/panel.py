@@ -33,10 +33,12 @@ def rows_to_bands(
 
     A pivot with given values: (cell, year) is reduced map-side first, then spread out. One
     conditional aggregate per year would generate a method too large for the JIT compiler.
+    The bands get their names as fields of one struct: as dozens of aliases, each with a default,
+    they would have the optimizer derive a variant of every later filter per subset of bands.
     """
     spread = panel.groupBy(*id_cols).pivot("year", list(years)).agg(F.min("class_code"))
-    named = spread.withColumnsRenamed({str(y): f"{prefix}_{y}" for y in years})
-    return named.fillna(0, subset=[f"{prefix}_{y}" for y in years])
+    bands = F.struct(*[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"{prefix}_{y}") for y in years])
+    return spread.select(*id_cols, F.inline(F.array(bands)))
 
 
 def measures_to_rows(df: DataFrame, cols: Sequence[str], name: str, value: str) -> DataFrame:
@@ -68,14 +70,8 @@ def ever_class(bands: Sequence[str], codes: Sequence[int]) -> Column:
 
 
 def mask_cells(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter on a condition over many bands, all bands kept.
-
-    The condition (0 or 1) gets a random number in [0, 1) added and is held against 1, which
-    does not change it but keeps the optimizer from propagating it. It would otherwise derive
-    one variant per subset of renamed bands, which no driver survives for dozens of bands.
-    Filters on partition columns belong before this step.
-    """
-    return df.filter(condition.cast("int") + F.rand(0) >= 1)
+    """Filter on a condition over many bands, all bands kept."""
+    return df.filter(condition)
 
 
 def shift_columns(df: DataFrame, cols: Sequence[str], by: int) -> DataFrame:

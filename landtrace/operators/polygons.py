@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landtrace.functions.geometry import bucket as bucket_of
-from landtrace.functions.geometry import great_circle, segment_sq_distance
+from landtrace.functions.geometry import great_circle
 
 EDGE = ["x1", "y1", "x2", "y2"]
 BRANCH = 16
@@ -120,62 +120,68 @@ def points_inside(points: DataFrame, edges: DataFrame, bucket: float = 1.0) -> D
     return found.select(*points.columns, F.explode(_found(bucket)).alias("poly_id"))
 
 
-def reach(points: DataFrame) -> float:
-    """Largest absolute coordinate, from a one-row aggregate (the only action in here)."""
-    top = points.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
-    return max(float(top or 0.0) * (1 + 1e-9), 1e-9)
+def _parents(cells: DataFrame, x: str, y: str, level: int) -> list[Column]:
+    """The cell's ancestor ``level`` levels up."""
+    return [F.floor(F.col(c) / BRANCH**level).alias(c) for c in (x, y)]
 
 
-def nearest_edges(points: DataFrame, edges: DataFrame, bucket: float, extent: float) -> DataFrame:
-    """Per occupied cell all edges that can be the nearest one of some point in the cell.
+def nearest_cells(cells: DataFrame, occupied: DataFrame, bucket: float, extent: float) -> DataFrame:
+    """For each of ``cells`` (bx, by) the ``occupied`` cells (ex, ey) that can hold a point's nearest edge.
 
-    With ``d`` the distance from the cell centre to its nearest edge and ``r`` the half
-    diagonal, the nearest edge of any point in the cell lies within ``d + 2r`` of the centre.
-    Cells are refined from four quadrants down, each keeping from its parent's edges those
-    within that distance, so far-away edges drop out early and nothing is lost.
+    Pairs of cells are refined from the four quadrants down. No point of a cell is farther from
+    the nearest edge than the far corner of any occupied cell, so occupied cells that begin
+    beyond the least such distance drop out, and nothing is lost. Each level reads the one
+    above it once; cells, not edges, are compared, so no key gathers the edges of a large area.
     """
     levels = max(1, math.ceil(math.log(extent / bucket, BRANCH) + 1e-9))
-    quadrants = [F.struct(F.lit(i).cast("bigint").alias("px"), F.lit(j).cast("bigint").alias("py"))
-                 for i in (-1, 0) for j in (-1, 0)]
-    kept = edges.select("poly_id", *EDGE, F.inline(F.array(*quadrants)))
-    known = F.greatest(F.abs("x"), F.abs("y")) <= extent
-    cells = points.select("x", "y").filter(known | F.assert_true(known, F.lit("point outside extent")).isNull())
-    cells = _in_cell(cells, bucket).select("bx", "by").distinct()
+    quadrants = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("ex"), F.lit(j).cast("bigint").alias("ey")) for i in (-1, 0) for j in (-1, 0)])
+    pairs = cells.select(*_parents(cells, "bx", "by", levels)).distinct().select("bx", "by", F.inline(quadrants))
+    pairs = pairs.select("bx", "by", "ex", "ey").join(
+        occupied.select(*_parents(occupied, "ex", "ey", levels)).distinct(), ["ex", "ey"], "left_semi")
     for level in reversed(range(levels)):
-        size, up = bucket * BRANCH**level, BRANCH**level
-        here = cells.select(F.floor(F.col("bx") / up).alias("cx"), F.floor(F.col("by") / up).alias("cy"))
-        here = here if level == 0 else here.distinct()
-        here = here.withColumns({"px": F.floor(F.col("cx") / BRANCH), "py": F.floor(F.col("cy") / BRANCH)})
-        mid = [(F.col(c) + 0.5) * size for c in ("cx", "cy")]
-        near = here.join(kept, ["px", "py"]).withColumn(
-            "d", F.sqrt(segment_sq_distance(*mid, *[F.col(c) for c in EDGE]))
-        )
-        closest = near.groupBy("cx", "cy").agg(F.min("d").alias("closest"))
-        kept = near.join(closest, ["cx", "cy"]).filter(
-            F.col("d") <= (F.col("closest") + size * math.sqrt(2)) * (1 + 1e-9)
-        ).select("poly_id", *EDGE, F.col("cx").alias("px"), F.col("cy").alias("py"))
+        here = cells.select(*_parents(cells, "bx", "by", level))
+        there = occupied.select(*_parents(occupied, "ex", "ey", level))
+        if level:
+            here, there = here.distinct(), there.distinct()
+        here = here.select("bx", "by", *[F.floor(F.col(c) / BRANCH).alias(f"p{c}") for c in ("bx", "by")])
+        there = there.select("ex", "ey", *[F.floor(F.col(c) / BRANCH).alias(f"p{c}") for c in ("ex", "ey")])
+        up = pairs.select(*[F.col(c).alias(f"p{c}") for c in ("bx", "by", "ex", "ey")])
+        tried = up.join(here, ["pbx", "pby"]).join(there, ["pex", "pey"]).select("bx", "by", "ex", "ey")
+        dx, dy = F.abs(F.col("bx") - F.col("ex")), F.abs(F.col("by") - F.col("ey"))
+        near, far = [F.greatest(d - 1, F.lit(0)) for d in (dx, dy)], [d + 1 for d in (dx, dy)]
+        bound = F.min(far[0] * far[0] + far[1] * far[1]).over(Window.partitionBy("bx", "by"))
+        pairs = tried.withColumns({"_near": near[0] * near[0] + near[1] * near[1], "_far": bound}).filter(
+            "_near <= _far").select("bx", "by", "ex", "ey")
+    return pairs
+
+
+def nearest_edges(cells: DataFrame, edges: DataFrame, bucket: float, extent: float) -> DataFrame:
+    """Per cell (bx, by) all edges that can be the nearest one of some point in the cell, as ``near``."""
+    known = F.greatest(*[F.abs(c) for c in EDGE]) <= extent
+    edges = edges.filter(known | F.assert_true(known, F.lit("edge outside extent")).isNull())
+    inside = edge_cells(edges, bucket).select(F.col("bx").alias("ex"), F.col("by").alias("ey"), "poly_id", *EDGE)
+    pairs = nearest_cells(cells, inside.select("ex", "ey").distinct(), bucket, extent)
     run, rise = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     edge = F.struct(
         "poly_id", "x1", "y1", run.alias("run"), rise.alias("rise"), (run * run + rise * rise).alias("size")
     )
-    return kept.groupBy(F.col("px").alias("bx"), F.col("py").alias("by")).agg(F.collect_list(edge).alias("near"))
+    return pairs.join(inside, ["ex", "ey"]).groupBy("bx", "by").agg(F.collect_set(edge).alias("near"))
 
 
-def nearest_polygon(
-    points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None,
-    around: DataFrame | None = None,
-) -> DataFrame:
+def nearest_polygon(points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float = 180.0) -> DataFrame:
     """Each point once, with its nearest polygon and the distance (0 inside one).
 
-    The smallest ``poly_id`` wins a tie. ``extent`` bounds the coordinates (180 for degrees);
-    a point beyond it is an error. It is measured when not given. ``around`` may name a
-    cheaper table with the same coordinates, from which the occupied cells are found.
+    Points inside a polygon are settled first; edges are searched only around the cells of the
+    others. The smallest ``poly_id`` wins a tie. ``extent`` bounds the coordinates of the layer
+    (180 for degrees); an edge beyond it is an error.
     """
-    around = points if around is None else around
-    extent = extent or reach(around)
-    index = polygon_index(edges, bucket)
-    index = nearest_edges(around, edges, bucket, extent).join(index, ["bx", "by"], "left")
-    found = _in_cell(points, bucket).join(index, ["bx", "by"], "left")
+    at_home = F.array_min(_found(bucket))
+    placed = _in_cell(points, bucket).join(polygon_index(edges, bucket), ["bx", "by"], "left")
+    placed = placed.select("bx", "by", *points.columns, at_home.alias("_home"))
+    outside = F.col("_home").isNull() & (F.col("bx") != NOWHERE) & (F.col("by") != NOWHERE)
+    cells = placed.filter(outside).select("bx", "by").distinct()
+    found = placed.join(nearest_edges(cells, edges, bucket, extent), ["bx", "by"], "left")
     x, y = F.col("x"), F.col("y")
     along = F.transform("near", lambda e: F.struct(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(
@@ -185,10 +191,8 @@ def nearest_polygon(
         (x - (a.e.x1 + a.t * a.e.run)).alias("x"), (y - (a.e.y1 + a.t * a.e.rise)).alias("y"), a.e.poly_id.alias("poly_id"),
     ))
     ranked = F.transform(off, lambda o: F.struct((o.x * o.x + o.y * o.y).alias("d"), o.poly_id.alias("poly_id")))
-    home = F.array_min(_found(bucket))
-    best = F.coalesce(
-        F.when(home.isNotNull(), F.struct(F.lit(0.0).alias("d"), home.alias("poly_id"))), F.array_min(ranked)
-    )
+    home = F.struct(F.lit(0.0).alias("d"), F.col("_home").alias("poly_id"))
+    best = F.when(F.col("_home").isNotNull(), home).otherwise(F.array_min(ranked))
     return found.select(*points.columns, best.alias("_b")).select(
         *points.columns, F.col("_b.poly_id").alias("poly_id"), F.sqrt("_b.d").alias("distance")
     )
@@ -232,8 +236,8 @@ def within_distance(df: DataFrame, centres: DataFrame, metres: float) -> DataFra
 
     Both sides carry a latitude band and a longitude step fixed by the band. A row of
     ``df`` has one such bucket; a centre is repeated over the few buckets its circle can
-    touch. Circles across the date line are not followed. ``centres`` columns other than
-    x, y are kept, with ``cx, cy`` and ``distance``.
+    touch, also where it crosses the date line (longitudes run from -180 to 180). ``centres``
+    columns other than x, y are kept, with ``cx, cy`` and ``distance``.
     """
     angle = metres / 6371008.8
     height = math.degrees(angle) * (1 + 1e-9)
@@ -247,13 +251,18 @@ def within_distance(df: DataFrame, centres: DataFrame, metres: float) -> DataFra
     others = [c for c in centres.columns if c not in ("x", "y")]
     spread = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians("cy"))))) * (1 + 1e-9)
     spread = F.when(F.abs("cy") + height >= 90, F.lit(360.0)).otherwise(spread)
+    left, right = F.col("cx") - spread, F.col("cx") + spread
+
+    def columns_of(shift: int, crosses: Column) -> Column:
+        step = lon_step(F.col("_band"))
+        span = F.sequence(*[F.floor((side + shift) / step).cast("bigint") for side in (left, right)])
+        return F.when(crosses, span).otherwise(F.array().cast("array<bigint>"))
+
     around = (
         centres.select(*others, F.col("x").alias("cx"), F.col("y").alias("cy"))
         .withColumn("_band", _between(bucket_of(F.col("cy"), height) - 1, bucket_of(F.col("cy"), height) + 1))
-        .withColumn("_col", _between(
-            F.floor((F.col("cx") - spread) / lon_step(F.col("_band"))).cast("bigint"),
-            F.floor((F.col("cx") + spread) / lon_step(F.col("_band"))).cast("bigint"),
-        ))
+        .withColumn("_col", F.explode(F.array_distinct(F.concat(
+            columns_of(0, F.lit(True)), columns_of(360, left < -180), columns_of(-360, right > 180)))))
     )
     return (
         rows.join(around, ["_band", "_col"])

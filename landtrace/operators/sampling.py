@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landtrace.functions.values import ticket
 
 
-def hash_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Bernoulli sample without replacement; a filter, so it runs below later joins."""
-    return df.filter(ticket(F.col(key), seed) < int(fraction * 2**32))
+def hash_sample(df: DataFrame, key: str | Sequence[str], fraction: float, seed: int) -> DataFrame:
+    """Bernoulli sample without replacement; a filter, so it runs below later joins.
+
+    Rows with the same key (one column or several) are drawn together.
+    """
+    drawn = F.col(key) if isinstance(key, str) else F.concat_ws("|", *key)
+    return df.filter(ticket(drawn, seed) < int(fraction * 2**32))
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` keys (or all): each task keeps its ``n`` lowest tickets, no full sort."""
+    """Exactly ``n`` keys (or all): each task keeps its ``n`` lowest tickets, no full sort.
+
+    All tasks' ``n`` rows meet in one, so this is for a small ``n``; use ``hash_sample`` for large ones.
+    """
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     return df.orderBy(draw, key).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtrace.functions.geometry import cell_col, cell_number, cell_row
@@ -25,23 +25,49 @@ def assign_tiles(df: DataFrame, row: str, col: str, dim: int = TILE_DIM) -> Data
     })
 
 
-def tile_metadata(cells: DataFrame, n_col: int, n_row: int, step: float, crs: str = "EPSG:4326") -> DataFrame:
-    """Extent of every tile from the centres of its cells, whichever of them are present."""
+def tile_metadata(
+    cells: DataFrame, catalog: DataFrame, sizes: DataFrame, step: float, crs: str = "EPSG:4326"
+) -> DataFrame:
+    """Extent of every tile from the centres of its cells, whichever of them are present.
+
+    ``catalog`` numbers the tiles (``tile_id, tile_code``); ``sizes`` has the columns and rows
+    of each by its code (``tile_code, n_col, n_row``), so tiles at the edge may be smaller.
+    """
+    tiles = catalog.select("tile_id", "tile_code").join(sizes.select("tile_code", "n_col", "n_row"), "tile_code")
     cell = F.col("tile_cell_id")
-    left = F.col("x") - (cell_col(cell, n_col) + 0.5) * step
-    top = F.col("y") + (cell_row(cell, n_col) + 0.5) * step
-    extent = cells.groupBy("tile_id").agg(
+    left = F.col("x") - (cell_col(cell, F.col("n_col")) + 0.5) * step
+    top = F.col("y") + (cell_row(cell, F.col("n_col")) + 0.5) * step
+    extent = cells.select("tile_id", "tile_cell_id", "x", "y").join(tiles, "tile_id").groupBy("tile_id").agg(
         F.round(F.min(left), 9).alias("x_min"), F.round(F.max(top), 9).alias("y_max")
     )
-    return extent.select(
-        "tile_id", F.format_string("%010d", "tile_id").alias("tile_code"),
-        "x_min", F.round(F.col("x_min") + n_col * step, 9).alias("x_max"),
-        F.round(F.col("y_max") - n_row * step, 9).alias("y_min"), "y_max",
-        F.lit(n_col).alias("n_col"), F.lit(n_row).alias("n_row"),
-        F.lit(n_col * n_row).alias("n_cell"), F.lit(crs).alias("crs"),
+    return extent.join(tiles, "tile_id").select(
+        "tile_id", "tile_code", "x_min", F.round(F.col("x_min") + F.col("n_col") * step, 9).alias("x_max"),
+        F.round(F.col("y_max") - F.col("n_row") * step, 9).alias("y_min"), "y_max",
+        "n_col", "n_row", (F.col("n_col") * F.col("n_row")).alias("n_cell"), F.lit(crs).alias("crs"),
     )
 
 
+def _on_tiles(c_length: DataFrame, mask: DataFrame, meta: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Sparse conversions with their row and column in the tile."""
+    return (
+        c_length.select("cell_id", "agri_cycle", *bands)
+        .join(mask.select("cell_id", "tile_id", "tile_cell_id"), "cell_id")
+        .join(meta.select("tile_id", "n_col"), "tile_id")
+        .select("tile_id", "agri_cycle", cell_row(F.col("tile_cell_id"), F.col("n_col")).alias("row"),
+                cell_col(F.col("tile_cell_id"), F.col("n_col")).alias("col"), *bands)
+    )
+
+
+def _filled(lines: DataFrame, cols: Column, bands: Sequence[str]) -> Column:
+    """Entries of a line for all of ``cols``: those in ``found``, and NULL bands elsewhere."""
+    found = F.coalesce("found", F.array().cast(lines.schema["found"].dataType))
+    empty = [F.lit(None).cast(lines.schema["found"].dataType.elementType[b].dataType).alias(b) for b in bands]
+    gaps = F.transform(
+        F.array_except(cols, F.transform(found, lambda c: c["col"])), lambda c: F.struct(c.alias("col"), *empty)
+    )
+    return F.concat(found, gaps)
+
+
 def rasterize(
     c_length: DataFrame, mask: DataFrame, meta: DataFrame, bands: Sequence[str] = LENGTH_COLUMNS
 ) -> DataFrame:
@@ -52,50 +78,52 @@ def rasterize(
     is filled up to ``n_col`` cells inside its own row.
     """
     where = ["tile_id", "agri_cycle"]
-    empty = [F.lit(None).cast("int").alias(b) for b in bands]
-    cells = (
-        c_length.select("cell_id", "agri_cycle", *bands)
-        .join(mask.select("cell_id", "tile_id", "tile_cell_id"), "cell_id")
-        .join(meta.select("tile_id", "n_col"), "tile_id")
-        .withColumns({"row": cell_row(F.col("tile_cell_id"), F.col("n_col")),
-                      "col": cell_col(F.col("tile_cell_id"), F.col("n_col"))})
-    )
-    lines = cells.groupBy(*where, "row").agg(F.collect_list(F.struct("col", *bands)).alias("found"))
+    lines = _on_tiles(c_length, mask, meta, bands).groupBy(*where, "row").agg(
+        F.collect_list(F.struct("col", *bands)).alias("found"))
     skeleton = (
         lines.select(*where).distinct()
         .join(meta.select("tile_id", "n_row", "n_col"), "tile_id")
         .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_row") - 1)))
         .drop("n_row")
     )
-    found = F.coalesce("found", F.array().cast(lines.schema["found"].dataType))
-    gaps = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.col("n_col") - 1), F.transform(found, lambda c: c["col"])),
-        lambda c: F.struct(c.alias("col"), *empty),
-    )
+    cols = F.sequence(F.lit(0), F.col("n_col") - 1)
     return (
         skeleton.join(lines, [*where, "row"], "left")
-        .select(*where, "row", "n_col", F.inline(F.concat(found, gaps)))
+        .select(*where, "row", "n_col", F.inline(_filled(lines, cols, bands)))
         .select(*where, cell_number(F.col("row"), F.col("col"), F.col("n_col")).alias("tile_cell_id"),
                 "row", "col", *bands)
     )
 
 
 def mosaic(
-    grids: DataFrame, offsets: DataFrame, bands: Sequence[str] = LENGTH_COLUMNS, overlapping: bool = True
+    c_length: DataFrame, mask: DataFrame, meta: DataFrame, offsets: DataFrame, bands: Sequence[str] = LENGTH_COLUMNS
 ) -> DataFrame:
-    """One grid per conversion from tile grids; the last tile with a value is on top.
+    """One dense grid per conversion over all tiles that have it; the last tile with a value is on top.
 
-    ``offsets`` places each tile: ``tile_id, row_offset, col_offset, tile_order``. Tiles
-    known not to overlap need no shuffle.
+    ``offsets`` places each tile: ``tile_id, row_offset, col_offset, tile_order``. Tiles that
+    overlap are settled among the sparse conversions. Only then the lines of the common grid
+    are filled, each inside its own row, over the columns of the tiles it crosses.
     """
-    placed = grids.join(offsets, "tile_id").select(
+    cells = _on_tiles(c_length, mask, meta, bands)
+    placed = cells.join(offsets, "tile_id").select(
         "agri_cycle", (F.col("row") + F.col("row_offset")).alias("row"),
         (F.col("col") + F.col("col_offset")).alias("col"), "tile_order", *bands,
     )
-    if not overlapping:
-        return placed.drop("tile_order")
     on_top = [F.max_by(b, F.when(F.col(b).isNotNull(), F.col("tile_order"))).alias(b) for b in bands]
-    return placed.groupBy("agri_cycle", "row", "col").agg(*on_top)
+    lines = placed.groupBy("agri_cycle", "row", "col").agg(*on_top).groupBy("agri_cycle", "row").agg(
+        F.collect_list(F.struct("col", *bands)).alias("found"))
+    extents = meta.select("tile_id", "n_row", "n_col").join(offsets, "tile_id")
+    crossed = (
+        cells.select("tile_id", "agri_cycle").distinct().join(extents, "tile_id")
+        .withColumn("row", F.explode(F.sequence(F.col("row_offset"), F.col("row_offset") + F.col("n_row") - 1)))
+        .groupBy("agri_cycle", "row").agg(F.collect_set(F.struct("col_offset", "n_col")).alias("tiles"))
+    )
+    cols = F.array_distinct(F.flatten(F.transform("tiles", lambda t: F.sequence(
+        t["col_offset"], t["col_offset"] + t["n_col"] - 1))))
+    return (
+        crossed.join(lines, ["agri_cycle", "row"], "left")
+        .select("agri_cycle", "row", F.inline(_filled(lines, cols, bands)))
+    )
 
 
 def tile_offsets(meta: DataFrame) -> DataFrame:

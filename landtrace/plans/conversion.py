@@ -22,9 +22,14 @@ def select_candidate_cells(wide: DataFrame, spec: ConversionSpec, prefix: str =
     return mask_cells(wide, ever_class(bands, spec.natural) & ever_class(bands, spec.agriculture))
 
 
-def conversion_cycles(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
-    """Conversions of a long panel, by windows over one exchange on the cell."""
-    return number_cycles(cycle_bounds(segment_cycles(panel, spec, keys), spec, keys), keys)
+def conversion_cycles(
+    panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL, classes: DataFrame | None = None
+) -> DataFrame:
+    """Conversions of a long panel, by windows over one exchange on the cell.
+
+    ``classes`` may give the anthropic classes as a dictionary table.
+    """
+    return number_cycles(cycle_bounds(segment_cycles(panel, spec, keys, classes), spec, keys), keys)
 
 
 def conversion_classes(panel: DataFrame, spec: ConversionSpec, keys: Sequence[str] = CELL) -> DataFrame:
@@ -56,12 +61,11 @@ def with_cell_ids(df: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def extract_mask(
-    mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float | None = None,
-    decimals: int | None = None,
+    mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float = 180.0, decimals: int | None = None,
 ) -> DataFrame:
     """Mask cells with a global id, the nearest municipality and the point as text."""
     cells = mask_wide.filter(F.col("area") != 0)
-    placed = nearest_polygon(surrogate_ids(cells), edges, bucket, extent, around=cells)
+    placed = nearest_polygon(surrogate_ids(cells), edges, bucket, extent)
     return placed.select(
         "cell_id", "tile_id", "tile_cell_id", "area", F.col("poly_id").alias("code_muni"), "x", "y",
         point_text(F.col("x"), F.col("y"), decimals).alias("coords"),

@@ -15,9 +15,9 @@ def rasterize_conversions(c_length: DataFrame, mask: DataFrame, meta: DataFrame)
     return rasterize(c_length, mask, meta)
 
 
-def mosaic_tiles(grids: DataFrame, meta: DataFrame, overlapping: bool = True) -> DataFrame:
-    """The tile grids of each conversion in one common grid."""
-    return mosaic(grids, tile_offsets(meta), overlapping=overlapping)
+def mosaic_tiles(c_length: DataFrame, mask: DataFrame, meta: DataFrame) -> DataFrame:
+    """The tiles of each conversion in one common dense grid."""
+    return mosaic(c_length, mask, meta, tile_offsets(meta))
 
 
 def hex_majority_length(

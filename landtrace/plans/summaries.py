@@ -36,8 +36,8 @@ def area_by_year(c_length: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def length_frequency(c_length: DataFrame, fraction: float = 0.01, seed: int = 2) -> DataFrame:
-    """Histogram of conversion length over a reproducible sample of cells."""
-    return histogram(hash_sample(c_length, "cell_id", fraction, seed), "c_length")
+    """Histogram of conversion length over a reproducible sample of conversions."""
+    return histogram(hash_sample(c_length, ["cell_id", "agri_cycle"], fraction, seed), "c_length")
 
 
 def length_ridges(

@@ -1,7 +1,7 @@
 """Tile catalogues built from file listings.
 
-A listing has one row per file and Spark's own file index holds it on the driver, so its
-size is bounded by that; numbering it in one sort is of the same order.
+A listing has one row per file and Spark's own file index holds it on the driver. Numbering
+sorts one row per tile in one place, which is few next to the files.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def tile_catalog(listing: DataFrame, prefix: str) -> DataFrame:
-    """Tile code parsed from the file name, numbered in code order."""
-    tiles = listing.select(code_after(F.col("path"), prefix).alias("tile_code"), "path")
-    return tiles.filter("tile_code is not null").select(
-        F.row_number().over(Window.orderBy("tile_code", "path")).alias("tile_id"), "tile_code", "path"
-    )
+    """Tile code parsed from the file name, numbered in code order, however many files a tile has.
+
+    ``path`` is the first of its files.
+    """
+    files = listing.select(code_after(F.col("path"), prefix).alias("tile_code"), "path")
+    tiles = files.filter("tile_code is not null").groupBy("tile_code").agg(F.min("path").alias("path"))
+    return tiles.select(F.row_number().over(Window.orderBy("tile_code")).alias("tile_id"), "tile_code", "path")
 
 
 def dedupe_listing(*listings: DataFrame, key: str = "name", drop: tuple[str, ...] = ()) -> DataFrame:

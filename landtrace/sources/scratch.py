@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the cluster shares.
-
-    Only a local session without that setting falls back to the machine's own
-    temporary folder; a cluster session without it is refused.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="landtrace-")
+    """A new folder under ``spark.checkpoint.dir``, else under the warehouse; a cluster shares both."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/landtrace/{label}-{uuid.uuid4().hex}"

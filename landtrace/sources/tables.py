@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def write_single(df: DataFrame, path: str) -> None:
     """Write a small table (tile metadata) as one file."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+    df.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def write_tiles(
@@ -31,11 +31,13 @@ def write_tiles(
 
     The ``rebalance`` hint clusters rows by the partition columns, so that a tile is not
     written in pieces by every task. Adaptive execution then splits the tiles that are too
-    heavy for one task and joins the light ones.
+    heavy for one task and joins the light ones. Overwriting replaces the groups that ``df`` has
+    and leaves all others, so a tile can be run again by itself.
     """
     (
         df.hint("rebalance", *[F.col(c) for c in by])
         .write.mode(mode).option("maxRecordsPerFile", max_records)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by).parquet(path)
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CLASS_SCHEMA = "class_name string, class_code int, class_type string, class_color string"
 
@@ -79,24 +78,13 @@ MEASURE_LABELS = {
 
 @dataclass(frozen=True)
 class ConversionSpec:
-    """Class sets of an analysis; they become literal ``IN`` lists, never a join."""
+    """Class sets of an analysis as literal ``IN`` lists. A dictionary table of any size is joined instead."""
 
     natural: tuple[int, ...] = NATURAL_CODES
     agriculture: tuple[int, ...] = AGRICULTURE_CODES
     anthropic: tuple[int, ...] = ANTHROPIC_CODES
     after: int = FOLLOW_UP_YEARS
 
-    @classmethod
-    def from_dictionary(cls, classes: DataFrame, max_classes: int = 1000, **sets) -> ConversionSpec:
-        """Take the anthropic codes from a dictionary table (refused if it is no small legend)."""
-        rows = (
-            classes.filter(F.col("class_type") == "anthropic")
-            .select("class_code").distinct().limit(max_classes + 1).collect()
-        )
-        if len(rows) > max_classes:
-            raise ValueError(f"class dictionary has more than {max_classes} anthropic codes")
-        return cls(anthropic=tuple(sorted(r.class_code for r in rows)), **sets)
-
 
 def class_table(spark: SparkSession) -> DataFrame:
     """The built-in legend as a DataFrame."""

@@ -13,6 +13,7 @@ from landtrace.plans.validation import compare_measures
 from suite.flagship import AREA, BANDS, LENGTH, SAMPLE, ticket_sql
 from suite.registry import query
 from suite.sql import AGRI, ANTHROPIC, sql
+from suite.tables import IMAGE_BANDS
 
 
 @query("a01_grouped_min", sql(f"""
@@ -83,10 +84,11 @@ def _(t):
 
 
 @query("a09_any_nonzero", sql("""
-    select cell_id, bool_or(year in (1990, 1991, 1992)) as seen from panel group by 1""", "panel"))
+    select cell_id, p.cell_id is not null as seen
+    from mask left join (select distinct cell_id from panel where class_code <> 0) p using (cell_id)""", "mask", "panel"))
 def _(t):
-    bands = [f"classification_{y}" for y in (1990, 1991, 1992)]
-    return t.wide.select("cell_id", any_nonzero(bands).alias("seen"))
+    cells = t.mask.select("cell_id").join(t.wide, "cell_id", "left")
+    return cells.select("cell_id", any_nonzero(t.bands).alias("seen"))
 
 
 @query("a10_distinct", sql("select distinct tile_id, agri_cycle from tiled", "tiled"))
@@ -95,13 +97,15 @@ def _(t):
 
 
 @query("a11_density", sql("""
-    select code_muni, agri_year, cast(g.i as int) as grid_id, round(1 + g.i * (35::double / 63), 9) as x,
+    select name_state, agri_year, cast(g.i as int) as grid_id, round(1 + g.i * (35::double / 63), 9) as x,
       round(sum(exp(-pow((1 + g.i * (35::double / 63) - c_length) / 2, 2) / 2)) / (count(*) * 2 * sqrt(2 * pi())), 9) as density
-    from (select * from c_length join mask using (cell_id) where agri_cycle = 1 and agri_year >= 1995) c
-    cross join generate_series(0, 63) g(i) group by 1, 2, 3, 4""", "c_length", "mask"))
+    from (select * from c_length join mask using (cell_id) join municip using (code_muni)
+          where agri_cycle = 1 and agri_year >= 1995 and c_length >= 1 and c_length <= 36) c
+    cross join generate_series(0, 63) g(i) group by 1, 2, 3, 4""", "c_length", "mask", "municip"))
 def _(t):
     first = joins.with_area(t.c_length.filter("agri_cycle = 1 and agri_year >= 1995"), t.mask, ["code_muni"])
-    density = aggregates.grouped_density(first, ["code_muni", "agri_year"], "c_length", n=64)
+    named = first.join(t.municip, "code_muni")
+    density = aggregates.grouped_density(named, ["name_state", "agri_year"], "c_length", n=64)
     return density.withColumns({"x": F.round("x", 9), "density": F.round("density", 9)})
 
 
@@ -123,11 +127,11 @@ def _(t):
     return sums.withColumn("area", F.col("area").cast("double"))
 
 
-@query("a14_value_range", sql("""
-    select min(least(red_median_dry, nir_median_wet)) as low, max(greatest(red_median_dry, nir_median_wet)) as high
+@query("a14_value_range", sql(f"""
+    select min(least({', '.join(IMAGE_BANDS)})) as low, max(greatest({', '.join(IMAGE_BANDS)})) as high
     from image""", "image"))
 def _(t):
-    return aggregates.value_range(t.image, ["red_median_dry", "nir_median_wet"])
+    return aggregates.value_range(t.image, IMAGE_BANDS)
 
 
 @query("w01_segmentation", sql("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landtrace.plans import conversion, raster, summaries, validation
-from landtrace.spec import FOLLOW_UP_CLASSES, ConversionSpec
+from landtrace.spec import FOLLOW_UP_CLASSES
 from suite.registry import query
 from suite.sql import AGRI, sql
 from suite.tables import STEP
@@ -43,7 +43,7 @@ def _(t):
 
 @query("p01_spec_from_dictionary", sql(f"select {LENGTH} from c_length", "c_length"))
 def _(t):
-    return conversion.conversion_cycles(t.panel, ConversionSpec.from_dictionary(t.classes))
+    return conversion.conversion_cycles(t.panel, t.spec, classes=t.classes)
 
 
 @query("p01_cycle_summary", sql("""
@@ -103,7 +103,7 @@ def _(t):
     from (select g.*, ((select max(tile_id - 1) from mask) // 5 - (tile_id - 1) // 5) * 10 as top from ({GRID}) g) p
     """, "tiled"))
 def _(t):
-    return raster.mosaic_tiles(raster.rasterize_conversions(t.c_length, t.mask, t.meta), t.meta)
+    return raster.mosaic_tiles(t.c_length, t.mask, t.meta)
 
 
 @query("p07_validation_sample", sql(f"""
@@ -118,15 +118,18 @@ HEX = """(select *, floor(q + 0.5) as rq, floor(r + 0.5) as rr, floor(-q - r + 0
 HEX_ROUND = """cast(case when abs(rq - q) > abs(rr - r) and abs(rq - q) > abs(rs + q + r) then -rr - rs else rq end as bigint) as hex_q,
     cast(case when not (abs(rq - q) > abs(rr - r) and abs(rq - q) > abs(rs + q + r)) and abs(rr - r) > abs(rs + q + r)
               then -rq - rs else rr end as bigint) as hex_r"""
-BLOCKS = """(select block_row, block_col, c_length, (block_col + 0.5::double) * 0.2::double as x,
+def hexagons(na_rm: bool) -> str:
+    """Blocks of 2 x 2 pixels; without ``na_rm`` only whole ones."""
+    whole = "true" if na_rm else "cells = 4"
+    blocks = f"""(select block_row, block_col, c_length, (block_col + 0.5::double) * 0.2::double as x,
       (block_row + 0.5::double) * 0.2::double as y
-    from (select block_row, block_col, c_length, count(*) as n
-          from (select cast(row // 2 as int) as block_row, cast(col // 2 as int) as block_col, c_length from grid) g
-          group by 1, 2, 3) k
+    from (select *, sum(n) over (partition by block_row, block_col) as cells
+          from (select block_row, block_col, c_length, count(*) as n
+                from (select cast(row // 2 as int) as block_row, cast(col // 2 as int) as block_col, c_length from grid) g
+                group by 1, 2, 3) k) w
+    where {whole}
     qualify row_number() over (partition by block_row, block_col order by n desc, c_length) = 1)"""
-
-
-@query("p08_hex_majority", sql(f"""
+    return sql(f"""
     select hex_q, hex_r, c_length, n, round(x, 9) as x, round(y, 9) as y, poly_id from (
       select hex_q, hex_r, c_length, n, x, y, poly_id,
         count(*) filter ((y1 > y) <> (y2 > y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x) % 2 as odd
@@ -134,21 +137,31 @@ BLOCKS = """(select block_row, block_col, c_length, (block_col + 0.5::double) *
                    hex_r * (0.7::double / sqrt(3.0::double) * 1.5) as y
             from (select * from (
                     select hex_q, hex_r, c_length, count(*) as n
-                    from (select {HEX_ROUND}, c_length from {HEX.format(source=BLOCKS, size=0.7)}) h
+                    from (select {HEX_ROUND}, c_length from {HEX.format(source=blocks, size=0.7)}) h
                     group by 1, 2, 3) f
                   qualify rank() over (partition by hex_q, hex_r order by n desc) = 1) z
             where n > 2) k
       cross join edges group by 1, 2, 3, 4, 5, 6, 7) i
-    where odd = 1""", "grid", "edges"))
-def _(t):
-    zones = raster.hex_majority_length(
-        t.grid, t.edges, step=STEP, size=0.7, factor=2, min_n=2, na_rm=True
-    )
+    where odd = 1""", "grid", "edges")
+
+
+def majority_hexagons(t, na_rm):
+    zones = raster.hex_majority_length(t.grid, t.edges, step=STEP, size=0.7, factor=2, min_n=2, na_rm=na_rm)
     return zones.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
 
 
+@query("p08_hex_majority", hexagons(True))
+def _(t):
+    return majority_hexagons(t, True)
+
+
+@query("p08_hex_majority_whole", hexagons(False))
+def _(t):
+    return majority_hexagons(t, False)
+
+
 @query("p09_length_frequency", sql(f"""
-    select c_length, count(*) as n from c_length where {ticket_sql('cell_id', 2, 0.1)} group by 1""", "c_length"))
+    select c_length, count(*) as n from c_length where {ticket_sql("concat(cell_id, '|', agri_cycle)", 2, 0.1)} group by 1""", "c_length"))
 def _(t):
     return summaries.length_frequency(t.c_length, fraction=0.1)
 

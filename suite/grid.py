@@ -11,7 +11,7 @@ from landtrace.plans.validation import draw_validation_sample, sample_surroundin
 from suite.flagship import GRID, HEX, HEX_ROUND, SAMPLE
 from suite.registry import query
 from suite.sql import AGRI, sql
-from suite.tables import SIDE, STEP
+from suite.tables import IMAGE_BANDS, STEP
 
 
 @query("r01_ever_class_masks", sql(f"""
@@ -62,7 +62,7 @@ def _(t):
 @query("r05_tile_metadata", sql("""
     select *, 10 as n_col, 10 as n_row, 100 as n_cell, 'EPSG:4326' as crs from meta""", "meta"))
 def _(t):
-    return tiles.tile_metadata(t.mask, SIDE, SIDE, STEP)
+    return tiles.tile_metadata(t.mask, t.tiles, t.sizes, STEP)
 
 
 @query("r06_rasterize", sql(GRID, "tiled"))
@@ -84,7 +84,7 @@ def _(t):
         (number % 5 * 8).cast("int").alias("col_offset"), F.col("tile_id").alias("tile_order"),
     )
     bands = ("agri_code", "c_length")
-    return tiles.mosaic(tiles.rasterize(t.c_length, t.mask, t.meta, bands), offsets, bands)
+    return tiles.mosaic(t.c_length, t.mask, t.meta, offsets, bands)
 
 
 @query("r07_mosaic_apart", sql(f"""
@@ -96,8 +96,7 @@ def _(t):
         "tile_id", (F.floor(number / 5) * 10).cast("int").alias("row_offset"),
         (number % 5 * 10).cast("int").alias("col_offset"), F.col("tile_id").alias("tile_order"),
     )
-    grids = tiles.rasterize(t.c_length, t.mask, t.meta, ["c_length"])
-    return tiles.mosaic(grids, offsets, ["c_length"], overlapping=False)
+    return tiles.mosaic(t.c_length, t.mask, t.meta, offsets, ["c_length"])
 
 
 @query("r08_block_modal", modal(2, False))
@@ -149,15 +148,15 @@ def _(t):
     return composites.yearly_composite(t.scenes, ["cell"], ["nir", "red"], ["scene", "part"], 1985, 2020)
 
 
-@query("r14_minmax", sql("""
-    select x, y, round((coalesce(red_median_dry, 0) - low) / (high - low), 9) as red_median_dry,
-      round((coalesce(nir_median_wet, 0) - low) / (high - low), 9) as nir_median_wet
-    from image cross join (select min(least(coalesce(red_median_dry, 0), coalesce(nir_median_wet, 0))) as low,
-      max(greatest(coalesce(red_median_dry, 0), coalesce(nir_median_wet, 0))) as high from image) r""", "image"))
+FILLED = ", ".join(f"coalesce({b}, 0)" for b in IMAGE_BANDS)
+
+
+@query("r14_minmax", sql("select x, y, " + ", ".join(
+    f"round((coalesce({b}, 0) - low) / (high - low), 9) as {b}" for b in IMAGE_BANDS) + f"""
+    from image cross join (select min(least({FILLED})) as low, max(greatest({FILLED})) as high from image) r""", "image"))
 def _(t):
-    bands = ["red_median_dry", "nir_median_wet"]
-    scaled = composites.minmax_scale(t.image, bands)
-    return scaled.select("x", "y", *[F.round(b, 9).alias(b) for b in bands])
+    scaled = composites.minmax_scale(t.image, IMAGE_BANDS)
+    return scaled.select("x", "y", *[F.round(b, 9).alias(b) for b in IMAGE_BANDS])
 
 
 @query("r15_band_select", sql("""

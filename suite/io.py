@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from landtrace.functions.text import point_text, point_xy
 from landtrace.operators.panel import drop_empty_cells, null_sentinels
-from landtrace.operators.tiles import tile_metadata
 from landtrace.plans.summaries import followup_counts
 from landtrace.plans.validation import draw_validation_sample
 from landtrace.sources import catalog, csvfiles, tables
@@ -14,7 +13,6 @@ from landtrace.sources.scratch import scratch_path
 from suite.flagship import SAMPLE
 from suite.registry import query
 from suite.sql import sql
-from suite.tables import SIDE, STEP
 
 
 def write_then(t, label, write, read=None):
@@ -42,8 +40,7 @@ def _(t):
 
 @query("s03_single_file", sql("select tile_id, tile_code, x_min, y_max from meta", "meta"))
 def _(t):
-    meta = tile_metadata(t.mask, SIDE, SIDE, STEP)
-    back = write_then(t, "tiles_metadata", lambda p: tables.write_single(meta, p))
+    back = write_then(t, "tiles_metadata", lambda p: tables.write_single(t.meta, p))
     return back.select("tile_id", "tile_code", "x_min", "y_max")
 
 

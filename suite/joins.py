@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landtrace.operators import joins, polygons
 from landtrace.operators.cycles import band_join
+from landtrace.plans.conversion import conversion_cycles
 from landtrace.plans.validation import compare_measures
 from landtrace.spec import FOLLOW_UP_YEARS
 from suite.registry import query
@@ -55,11 +56,10 @@ def _(t):
 
 
 @query("j06_full_join", sql("""
-    select cell_id, c.agri_code, o.sample_id from (select * from c_length where agri_cycle = 3) c
-    full join (select * from observed where forest_year > 1995) o using (cell_id)""", "c_length", "observed"))
+    select cell_id, e.agri_year, m.code_muni from ev_length e full join mask m using (cell_id)""", "ev_length", "mask"))
 def _(t):
-    third = t.c_length.filter("agri_cycle = 3").select("cell_id", "agri_code")
-    return third.join(t.observed.filter("forest_year > 1995").select("cell_id", "sample_id"), "cell_id", "full")
+    seen = conversion_cycles(t.panel_events, t.spec).select("cell_id", "agri_year")
+    return seen.join(t.mask.select("cell_id", "code_muni"), "cell_id", "full")
 
 
 @query("j07_densify", sql("""
@@ -74,10 +74,9 @@ def _(t):
 
 
 @query("j08_semi_join", sql("""
-    select * from c_length where cell_id in (select cell_id from observed where agri_year > 2000)""",
-    "c_length", "observed"))
+    select * from observed where cell_id in (select cell_id from c_length)""", "c_length", "observed"))
 def _(t):
-    return joins.matched_rows(t.c_length, t.observed.filter("agri_year > 2000"), "cell_id")
+    return joins.matched_rows(t.observed, t.c_length, "cell_id")
 
 
 @query("j09_cross_sequence", sql("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landtrace.functions import geometry, text, values
@@ -9,8 +10,10 @@ from landtrace.operators import aggregates, joins, panel, reshape
 from landtrace.plans import summaries
 from landtrace.plans.validation import compare_measures, validation_metrics
 from landtrace.spec import FOLLOW_UP_CLASSES, MEASURE_LABELS
+from suite.flagship import BANDS
 from suite.registry import query
 from suite.sql import AGRI, sql
+from suite.tables import IMAGE_BANDS, YEARS
 
 
 @query("f01_column_range", sql(
@@ -91,12 +94,10 @@ def _(t):
     })
 
 
-@query("f10_remap_bands", sql("""
-    select cell_id, cast(classification_1990 in (3) as int) as classification_1990,
-      cast(classification_2001 in (3) as int) as classification_2001 from wide""", "wide"))
+@query("f10_remap_bands", sql("select cell_id, " + ", ".join(
+    f"cast(classification_{y} in (3) as int) as classification_{y}" for y in YEARS) + " from wide", "wide"))
 def _(t):
-    bands = ["classification_1990", "classification_2001"]
-    return panel.remap_bands(t.wide.select("cell_id", *bands), bands, t.spec.natural)
+    return panel.remap_bands(t.wide, t.bands, t.spec.natural)
 
 
 @query("f11_shift_columns", sql("""
@@ -107,11 +108,10 @@ def _(t):
     return shifted.select("cell_id", "agri_cycle", "forest_year", "agri_year")
 
 
-@query("f12_fill_nulls", sql("""
-    select x, y, coalesce(red_median_dry, 0) as red_median_dry, coalesce(nir_median_wet, 0) as nir_median_wet
-    from image""", "image"))
+@query("f12_fill_nulls", sql(
+    "select x, y, " + ", ".join(f"coalesce({b}, 0) as {b}" for b in IMAGE_BANDS) + " from image", "image"))
 def _(t):
-    return t.image.select("x", "y", "red_median_dry", "nir_median_wet").fillna(0)
+    return t.image.fillna(0)
 
 
 @query("f13_decode_codes", sql("""
@@ -138,21 +138,15 @@ ORDERED = ", ".join(f"'{c}'" for c in FOLLOW_UP_CLASSES)
 
 
 @query("o02_custom_order", sql(f"""
-    select agri_code, class_code, cast(row_number() over (order by
-      coalesce(list_position([{ORDERED}], agri_code), 10), agri_code,
+    select agri_code, class_code, cast(row_number() over (partition by agri_code order by
       coalesce(list_position([{ORDERED}], class_code), 10), class_code) as int) as position
     from parts""", "parts"))
 def _(t):
     named = summaries.followup_shares(summaries.followup_counts(t.c_length, t.c_classes), t.classes)
+    keys = [values.rank_of(F.col("class_code"), FOLLOW_UP_CLASSES), F.col("class_code")]
+    position = F.row_number().over(Window.partitionBy("agri_code").orderBy(*keys))
     ordered = reshape.in_category_order(named, ["agri_code", "class_code"], FOLLOW_UP_CLASSES)
-    # at most one row per pair of classes, so the rows in order fit one array
-    listed = ordered.agg(F.sort_array(F.collect_list(F.struct(
-        *[key for c in ("agri_code", "class_code") for key in (
-            values.rank_of(F.col(c), FOLLOW_UP_CLASSES).alias(f"r_{c}"), F.col(c))]
-    ))).alias("rows"))
-    return listed.select(F.posexplode("rows").alias("pos", "r")).select(
-        "r.agri_code", "r.class_code", (F.col("pos") + 1).alias("position")
-    )
+    return ordered.select("agri_code", "class_code", position.alias("position"))
 
 
 @query("o03_first_columns", sql("select round(total_perc, 6) as total_perc, agri_code, " + ", ".join(
@@ -195,12 +189,13 @@ def _(t):
     return table.withColumns({c: F.round(c, 9) for c in FOLLOW_UP_CLASSES})
 
 
-@query("u05_bounds_to_columns", sql("""
-    select agri_code, min(c_length) as low, max(c_length) as high from c_length group by 1""", "c_length"))
+@query("u05_bounds_to_columns", sql(BANDS, "pairs"))
 def _(t):
-    ends = t.c_length.groupBy("agri_code").agg(F.min("c_length").alias("low"), F.max("c_length").alias("high"))
-    rows = ends.unpivot(["agri_code"], ["low", "high"], "side", "value")
-    return rows.groupBy("agri_code").pivot("side", ["low", "high"]).agg(F.first("value"))
+    """Quantiles as rows, one for each bound, then the two bounds of a group as columns."""
+    bands = aggregates.quantile_bands(compare_measures(t.c_length, t.observed), ["var"], "difference")
+    rows = bands.unpivot(["var", "group_id"], ["min", "max"], "side", "value")
+    wide = rows.groupBy("var", "group_id").pivot("side", ["min", "max"]).agg(F.first("value"))
+    return wide.withColumns({c: F.round(c, 9) for c in ("min", "max")})
 
 
 @query("t01_union_by_name", sql("""
@@ -219,9 +214,9 @@ def _(t):
 
 
 @query("t03_except", sql("""
-    select cell_id from observed except select cell_id from c_length where agri_cycle > 1""", "observed", "c_length"))
+    select cell_id from observed except select cell_id from c_length""", "observed", "c_length"))
 def _(t):
-    return t.observed.select("cell_id").subtract(t.c_length.filter("agri_cycle > 1").select("cell_id"))
+    return t.observed.select("cell_id").subtract(t.c_length.select("cell_id"))
 
 
 @query("x01_first_number", """

@@ -3,7 +3,7 @@ they share nothing with the window and array forms used in the library."""
 
 from __future__ import annotations
 
-from landtrace.spec import ANTHROPIC_CODES, CLASS_ROWS
+from landtrace.spec import AGRICULTURE_CODES, ANTHROPIC_CODES, CLASS_ROWS
 from suite.tables import PLOT, SEGMENTS, YEARS
 
 
@@ -19,7 +19,7 @@ def codes(values) -> str:
 
 
 ANTHROPIC = codes(ANTHROPIC_CODES)
-AGRI = codes((18, 19, 39, 20, 40, 62, 41, 36, 46, 47, 48))
+AGRI = codes(AGRICULTURE_CODES)
 _D = "cast({} as double)"
 
 

@@ -17,6 +17,8 @@ from landtrace.operators.tiles import tile_metadata
 from landtrace.plans.conversion import conversion_classes, conversion_cycles
 
 YEARS = range(1985, 2013)
+IMAGE_BANDS = [f"{band}_median_{season}" for band in ("blue", "green", "red", "nir", "swir1") for season in ("dry", "wet")] + [
+    "ndvi_amp"]
 STEP = 0.1
 SIDE = 10
 
@@ -103,9 +105,18 @@ class Tables:
         area = F.when(F.col("cell_id") % 13 == 0, 0).otherwise(F.col("area").cast("double"))
         return self.mask.select("tile_id", "tile_cell_id", "x", "y", area.alias("area"))
 
+    @cached_property
+    def tiles(self) -> DataFrame:
+        """The catalogue: a number and a code for each tile."""
+        return self.mask.select("tile_id").distinct().withColumn("tile_code", F.format_string("%010d", "tile_id"))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return self.tiles.select("tile_code", F.lit(SIDE).alias("n_col"), F.lit(SIDE).alias("n_row"))
+
     @cached_property
     def meta(self) -> DataFrame:
-        return tile_metadata(self.mask, SIDE, SIDE, STEP)
+        return tile_metadata(self.mask, self.tiles, self.sizes, STEP)
 
     @cached_property
     def municip(self) -> DataFrame:

@@ -12,6 +12,8 @@ from landtrace import CLASS_ROWS, ConversionSpec, class_table
 from landtrace.functions.text import code_after, first_number, point_text, point_xy
 from landtrace.operators import aggregates, composites, joins, panel, reshape, sampling, tiles
 from landtrace.operators.ids import surrogate_ids
+from landtrace.operators.sampling import hash_sample
+from landtrace.plans.conversion import conversion_cycles, select_candidate_cells
 from landtrace.plans.validation import compare_measures, error_quantile_bands, validation_metrics
 from landtrace.sources import catalog, csvfiles, tables
 from landtrace.sources.scratch import scratch_path
@@ -139,7 +141,7 @@ def test_dense_raster_and_overlapping_mosaic(spark):
     assert len(got) == 18 == grid.count()
     assert {k: v for k, v in got.items() if v != (None, None)} == {
         (1, 1, 1): (39, 10), (1, 1, 3): (41, 20), (2, 1, 1): (48, 30), (2, 2, 6): (20, None)}
-    whole = tiles.mosaic(grid, tiles.tile_offsets(meta), bands)
+    whole = tiles.mosaic(c_length, mask, meta, tiles.tile_offsets(meta), bands)
     cells = {(r.agri_cycle, r.row, r.col): (r.agri_code, r.c_length) for r in whole.collect()}
     assert len(cells) == 16  # 2 x 5 for cycle 1, 2 x 3 for cycle 2
     assert cells[1, 0, 0] == (39, 10) and cells[1, 0, 2] == (48, 30) and cells[2, 1, 4] == (20, None)
@@ -183,9 +185,15 @@ def test_csv_blanks_and_na(spark, tmp_path):
 def test_class_dictionary(spark):
     kinds = Counter(kind for _, _, kind, _ in CLASS_ROWS)
     assert kinds == {"anthropic": 18, "natural": 14, "mosaic": 3, None: 1}
-    assert set(ConversionSpec.from_dictionary(class_table(spark)).anthropic) == set(ConversionSpec().anthropic)
-    with pytest.raises(ValueError):
-        ConversionSpec.from_dictionary(class_table(spark), max_classes=3)
+    # a dictionary of any size is joined
+    panel_rows = [(1, 1985, 3), (1, 1986, 5000), (1, 1987, 39), (1, 1988, 3), (1, 1989, 39), (2, 1985, 3), (2, 1986, 39)]
+    table = spark.createDataFrame(panel_rows, "cell_id int, year int, class_code int")
+    many = spark.range(4000, 6000).select(
+        F.lit("x").alias("class_name"), F.col("id").cast("int").alias("class_code"), F.lit("anthropic").alias("class_type"))
+    found = conversion_cycles(table, ConversionSpec(), classes=many).select("cell_id", "forest_year", "agri_year", "c_cycle")
+    assert rows(found) == [(1, 1986, 1987, 1), (1, 1989, 1989, 2), (2, 1986, 1986, 1)]
+    assert rows(conversion_cycles(table, ConversionSpec(), classes=class_table(spark))) == rows(
+        conversion_cycles(table, ConversionSpec()))
 
 
 def test_tile_write_prunes_partitions(spark):
@@ -198,7 +206,91 @@ def test_tile_write_prunes_partitions(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tile_id" in plan and len(one.inputFiles()) >= 1
     names = catalog.list_files(spark, path, "*.parquet")
-    assert catalog.tile_catalog(names, "tile_id=").select("tile_code").distinct().count() == 4
+    assert rows(catalog.tile_catalog(names, "tile_id=").select("tile_id", "tile_code")) == [
+        (1, "0"), (2, "1"), (3, "2"), (4, "3")]
+
+
+def test_one_tile_run_again_keeps_the_rest(spark):
+    path = scratch_path(spark, "again")
+    df = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") % 4).cast("int").alias("tile_id"))
+    tables.write_tiles(df, path)
+    tables.write_tiles(df.filter("tile_id = 2 and cell_id > 20"), path)
+    counts = {r.tile_id: r["count"] for r in tables.read_table(spark, path).groupBy("tile_id").count().collect()}
+    assert counts == {0: 10, 1: 10, 2: 5, 3: 10}
+
+
+def test_catalogue_has_a_tile_once_however_many_files(spark):
+    path = scratch_path(spark, "files")
+    df = spark.range(400).select(F.col("id").alias("cell_id"), (F.col("id") % 3 + 7).cast("int").alias("tile_id"))
+    df.repartition(4).write.partitionBy("tile_id").parquet(path)
+    names = catalog.list_files(spark, path, "*.parquet")
+    assert names.count() == 12
+    assert rows(catalog.tile_catalog(names, "tile_id=").select("tile_id", "tile_code")) == [(1, "7"), (2, "8"), (3, "9")]
+
+
+def test_ragged_tiles(spark):
+    """A full tile of 3 x 2 cells and one cut off to 2 x 1 at its right."""
+    cells = spark.createDataFrame(
+        [(1, 1, 0.5, 9.5), (1, 6, 2.5, 8.5), (2, 2, 4.5, 9.5)], "tile_id int, tile_cell_id int, x double, y double")
+    numbers = spark.createDataFrame([(1, "a-1"), (2, "a-2")], "tile_id int, tile_code string")
+    sizes = spark.createDataFrame([("a-1", 3, 2), ("a-2", 2, 1), ("a-3", 3, 2)], "tile_code string, n_col int, n_row int")
+    meta = tiles.tile_metadata(cells, numbers, sizes, 1.0)
+    got = rows(meta.select("tile_id", "tile_code", "x_min", "x_max", "y_min", "y_max", "n_cell"))
+    assert got == [(1, "a-1", 0.0, 3.0, 8.0, 10.0, 6), (2, "a-2", 3.0, 5.0, 9.0, 10.0, 2)]
+
+
+def test_middle_quantile_and_null_order(spark):
+    df = spark.createDataFrame([(i,) for i in range(101)], "v int")
+    bands = aggregates.quantile_bands(df, [], "v", (0.95, 0.5, 0.05))
+    assert rows(bands) == [(1, 5.0, 95.0), (2, 50.0, 50.0)]
+    keyed = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (1, 3, "c"), (2, None, "d")], "k int, o int, v string")
+    assert rows(aggregates.first_per_key(keyed, ["k"], ["o"])) == [(1, 2, "b"), (2, None, "d")]
+    assert rows(aggregates.first_per_key(keyed, ["k"], ["o"], last=True)) == [(1, 3, "c"), (2, None, "d")]
+
+
+def test_density_leaves_out_what_lies_beyond(spark):
+    df = spark.createDataFrame([("s", 0), ("s", 0), ("s", 5), ("s", 40)], "state string, c_length int")
+    alone = spark.createDataFrame([("s", 5)], "state string, c_length int")
+    dense, only = (aggregates.grouped_density(d, ["state"], "c_length", n=36).orderBy("grid_id").collect() for d in (df, alone))
+    assert dense == only and len(dense) == 36
+
+
+def test_category_order_of_rows(spark):
+    df = spark.createDataFrame([("z",), ("b",), ("a",), ("c",)], "k string")
+    assert [r.k for r in reshape.in_category_order(df, ["k"], ["c", "z"]).collect()] == ["c", "z", "a", "b"]
+
+
+def test_rows_sampled_apart(spark):
+    df = spark.range(2000).select((F.col("id") % 100).alias("cell"), F.col("id").alias("cycle"))
+    kept = hash_sample(df, ["cell", "cycle"], 0.3, 1)
+    share = kept.groupBy("cell").count().collect()
+    assert len(share) > 90 and max(r["count"] for r in share) < 20
+
+
+def test_mask_filter_reaches_the_partitions(spark):
+    """37 bands, one filter over all of them, and a partition filter after it."""
+    path = scratch_path(spark, "bands")
+    bands = {f"classification_{y}": (F.col("id") % 7 * ((F.col("id") + y) % 2)).cast("int") for y in range(1985, 2022)}
+    tables.write_tiles(spark.range(200).select(F.col("id").alias("cell_id"), (F.col("id") % 4).cast("int").alias("tile_id"),
+                                              *[c.alias(n) for n, c in bands.items()]), path)
+    found = select_candidate_cells(tables.read_table(spark, path), ConversionSpec(natural=(3,), agriculture=(5, 6)))
+    plan = found.filter("tile_id = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tile_id" in plan
+
+
+def test_no_exchange_above_the_fill(spark):
+    """Dense rows of a mosaic or of filled tiles are never shuffled."""
+    cells = spark.range(50).select(
+        F.col("id").alias("cell_id"), F.lit(1).alias("agri_cycle"), F.col("id").cast("int").alias("agri_code"),
+        F.lit(1).alias("tile_id"), (F.col("id") + 1).cast("int").alias("tile_cell_id"))
+    meta = spark.createDataFrame(
+        [(1, 10, 10, 0.0, 1.0, 0.0, 1.0)], "tile_id int, n_row int, n_col int, x_min double, x_max double, y_min double, y_max double")
+    mask = cells.select("cell_id", "tile_id", "tile_cell_id")
+    whole = tiles.mosaic(cells.select("cell_id", "agri_cycle", "agri_code"), mask, meta, tiles.tile_offsets(meta), ["agri_code"])
+    dense = joins.densify(cells.drop("cell_id"), meta.select("tile_id", (F.col("n_row") * F.col("n_col")).alias("n")), ["tile_id"], "n", "tile_cell_id")
+    for df, n in ((whole, 100), (dense, 100)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("Generate inline")] and df.count() == n
 
 
 def test_bucketed_tables_join_without_exchange(spark):

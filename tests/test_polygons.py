@@ -87,10 +87,10 @@ def test_axis_aligned_squares_on_cell_centres(spark):
     assert inside == {(i, p) for i, x, y in grid for p, e in squares.items() if holds(e, x, y)}
 
 
-def test_point_outside_extent_is_an_error(spark, layer, points):
+def test_layer_outside_extent_is_an_error(spark, layer, points):
     edges, pts = frames(spark, layer, points)
     with pytest.raises(Exception, match="outside extent"):
-        nearest_polygon(pts, edges, 1.0, extent=5.0).collect()
+        nearest_polygon(pts, edges, 1.0, extent=0.5).collect()
 
 
 def test_missing_coordinates_have_no_polygon(spark, layer):
@@ -135,6 +135,40 @@ def test_within_distance(spark):
     assert {(r.id, r["sample"]) for r in near.collect()} == expected and len(expected) > len(centres)
 
 
+def test_within_distance_across_the_date_line(spark):
+    pts = [(1, -179.9995, 0.0), (2, 179.9995, 0.0), (3, 179.98, 0.0), (4, 0.0, 0.0), (5, -180.0, 0.001)]
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    centres = spark.createDataFrame([(10, 179.9995, 0.0), (11, -179.9995, 0.0)], "sample int, x double, y double")
+    near = sorted((r.id, r["sample"]) for r in within_distance(df, centres, 1000.0).collect())
+    assert near == [(1, 10), (1, 11), (2, 10), (2, 11), (5, 10), (5, 11)]
+
+
+def test_nearest_plan_grows_by_a_constant(spark):
+    """Finer cells add levels; each adds as many exchanges as the one before."""
+    edges = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 0.0)], EDGE_SCHEMA)
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id int, x double, y double")
+    plans = [nearest_polygon(points, edges, bucket)._jdf.queryExecution().executedPlan().toString()
+             for bucket in (1.0, 0.1, 0.01, 0.001)]
+    exchanges = [p.count("Exchange") for p in plans]
+    steps = [b - a for a, b in zip(exchanges, exchanges[1:])]
+    assert max(steps) <= 20 and max(steps) - min(s for s in steps if s) <= 6, exchanges
+
+
+def test_nearest_with_most_points_in_one_cell(spark):
+    rng = random.Random(6)
+    edges = [e for k in range(4) for e in star(rng, k, 3 * k, 0)]
+    pts = [(i, 5.2 + rng.uniform(0, 0.2), 1.3 + rng.uniform(0, 0.2)) for i in range(3000)] + [(3000, -170.0, 80.0)]
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    layer = spark.createDataFrame(edges, EDGE_SCHEMA)
+    by_poly = {k: [e for e in edges if e[0] == k] for k in range(4)}
+    for r in nearest_polygon(df, layer, 0.5).collect():
+        if any(holds(es, r.x, r.y) for es in by_poly.values()):
+            assert r.distance == 0
+        else:
+            best = min((distance(es, r.x, r.y), k) for k, es in by_poly.items())
+            assert r.poly_id == best[1] and abs(r.distance - best[0]) < 1e-9
+
+
 def test_hexagon_is_the_nearest_centre(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(2000)], "x double, y double")
