@@ -13,7 +13,7 @@ from landtrace.llm.chunkdedup import dedup_passages
 from landtrace.llm.common import shared_folder
 from landtrace.llm.counts import TokenLedger, copies, token_counts
 from landtrace.llm.decontam import contamination
-from landtrace.llm.licenses import scan_licences
+from landtrace.llm.licenses import TEMPLATES, scan_licences
 from landtrace.llm.linededup import line_report
 from landtrace.llm.packing import pack
 from landtrace.llm.quality import host_quality
@@ -155,12 +155,70 @@ def document_path() -> Column:
     return F.concat("source", F.lit("/"), "lang", F.lit("/"), folder, F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
-@query("op7_license_scan")
+def _words_sql(text: str) -> str:
+    return f"""list_filter(string_split_regex(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+
+
+_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+LICENCES_SQL = f"""
+with t as (from (values {_NOTICES}) v(k, name, text)),
+tw as (select k, name, w, count(*) as tf from (select k, name, unnest({_words_sql('text')}) as w from t) group by all),
+d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l,
+        concat(source, '/', lang, '/', case when n_chars < 500 then '' else concat(doc_id // 1000, '/') end, doc_id, '.txt') as path
+      from documents),
+df as (select w, count(*) as n from (select unnest(list_distinct({_words_sql('text')})) as w from d)
+       where w in (select w from tw) group by 1),
+idf as (select w, ln((1 + (select count(*) from d))::double / (1 + coalesce(n, 0))) + 1 as idf
+        from (select distinct w from tw) left join df using (w)),
+tv as (select k, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by k)) as x from tw join idf using (w)),
+u as (select doc_id, unnest(l) as line, unnest(range(len(l))) as unit from d
+      union all select doc_id, text, len(l) from d where len(l) > 1),
+uw as (select doc_id, unit, w, count(*) as tf from (select doc_id, unit, unnest({_words_sql('line')}) as w from u) group by all),
+un as (select doc_id, unit, sqrt(sum(pow(tf * coalesce(idf, (select ln(1 + count(*)) + 1 from d)), 2))) as norm
+       from uw left join idf using (w) group by all),
+s as (select doc_id, unit, name, round(sum(tf * idf * x) / any_value(norm), 9) as similarity
+      from uw join idf using (w) join tv using (w) join un using (doc_id, unit) group by doc_id, unit, k, name),
+own as (select doc_id, max(row(similarity, name)) as best, bool_or(unit = 0) as opens from s where similarity >= 0.8 group by 1),
+f as (select doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, best[2] as own, best[1] as similarity, opens
+      from d left join own using (doc_id)),
+g as (select dir, min(row(path, own))[2] as licence from f where opens group by 1),
+near as (select f.dir, g.dir as origin, g.licence from (select distinct dir from f) f
+         join g on f.dir = g.dir or g.dir = '' or starts_with(f.dir, concat(g.dir, '/'))
+         qualify row_number() over (partition by f.dir order by length(g.dir) desc) = 1)
+select doc_id, path, coalesce(own, licence) as licence,
+  case when own is not null then 'own' when licence is not null then 'inherited' end as origin,
+  case when own is null then near.origin end as inherited_from, round(similarity, 6) as similarity
+from f left join near using (dir)
+"""
+
+
+@query("op7_license_scan", LICENCES_SQL)
 def _(spark, sf_dir):
     return scan_licences(read(spark, sf_dir, "documents"), document_path())
 
 
-@query("op8_suffix_dedup")
+SUBSTRINGS_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g
+      from (select doc_id, h, unnest(range(length(h) // 2 - 99)) as i from d)),
+later as (select doc_id, i from w qualify row_number() over (partition by g order by doc_id, i) > 1),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from (
+    select *, sum(new) over (partition by doc_id order by i) as run from (
+      select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from later))
+  group by doc_id, run),
+rest as (select doc_id, b as a, lead(a) over (partition by doc_id order by a) as b from runs
+         union all select doc_id, 0, min(a) from runs group by 1),
+kept as (select doc_id, string_agg(substr(h, 2 * rest.a + 1, 2 * (coalesce(rest.b, length(h) // 2) - rest.a)), '' order by rest.a) as h
+         from rest join d using (doc_id) group by 1),
+n as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans from runs group by 1)
+select doc_id, length(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op8_suffix_dedup", SUBSTRINGS_SQL)
 def _(spark, sf_dir):
     rows = dedup_substrings(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
