@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtrace.plans import conversion, raster, summaries, validation
+from landtrace.plans import conversion, raster, stored, summaries, validation
+from landtrace.sources.scratch import scratch_path
 from landtrace.spec import FOLLOW_UP_CLASSES
 from suite.registry import query
 from suite.sql import AGRI, sql
@@ -216,10 +217,24 @@ def _(t):
     return bands.withColumns({"min": F.round("min", 9), "max": F.round("max", 9)})
 
 
-@query("p14_followup_crosstab", sql("select round(total_perc, 9) as total_perc, agri_code, " + ", ".join(
+CROSSTAB = sql("select round(total_perc, 9) as total_perc, agri_code, " + ", ".join(
     f"round(max(perc) filter (class_code = '{c}'), 9) as \"{c}\"" for c in FOLLOW_UP_CLASSES
-) + " from parts group by total_perc, agri_code", "parts"))
-def _(t):
-    counts = summaries.followup_counts(t.c_length, t.c_classes)
-    table = summaries.followup_crosstab(counts, t.classes)
+) + " from parts group by total_perc, agri_code", "parts")
+
+
+def crosstab(t, c_length, c_classes):
+    table = summaries.followup_crosstab(summaries.followup_counts(c_length, c_classes), t.classes)
     return table.withColumns({c: F.round(c, 9) for c in ["total_perc", *FOLLOW_UP_CLASSES]})
+
+
+@query("p14_followup_crosstab", CROSSTAB)
+def _(t):
+    return crosstab(t, t.c_length, t.c_classes)
+
+
+@query("p14_followup_stored", CROSSTAB)
+def _(t):
+    """Conversions are stored by tile and cycle; the summary reads each stored table once."""
+    root = scratch_path(t.spark, "stored")
+    stored.store_conversions(t.panel, t.mask, t.spec, root)
+    return crosstab(t, *stored.read_stored(t.spark, root))
