@@ -25,7 +25,7 @@ from landtrace.llm.common import keyed, outer_id, ship
 
 TOP_BITS = 4
 SHORTEST, LONGEST = 16, 256
-PASSAGE = 100
+PASSAGE = 150
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 KEY = ["_id", "_v"]
 
