@@ -275,14 +275,12 @@ def _edges(keys: int, distance: int, most: int | None):
         return out(columns, 0, nodes[linked], nodes[root[linked]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        passed = None  # key of a bucket too large to hold
+        held: list[list[np.ndarray]] = []  # pieces of the bucket that may go on
+        last = passed = None  # its key; the key of a bucket too large to hold
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys + 2)]
             if passed is not None:
-                same = np.ones(len(new[0]), bool)
-                for c, v in zip(new, passed):
-                    same &= c == v
+                same = np.logical_and.reduce([c == v for c, v in zip(new, passed)])
                 if same.any():
                     yield out(new, 1, new[keys][same], new[keys + 1][same], new[0][same], new[1][same])
                     new = [c[~same] for c in new]
@@ -290,20 +288,22 @@ def _edges(keys: int, distance: int, most: int | None):
                     passed = None
             if not len(new[0]):
                 continue
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            last = [c[-1] for c in held[:keys]]
-            same = np.ones(len(held[0]), bool)
-            for c, v in zip(held, last):
-                same &= c == v
+            key = [c[-1] for c in new[:keys]]
+            same = np.logical_and.reduce([c == v for c, v in zip(new, key)])
             cut = len(same) - int(same.sum())  # sorted: the last bucket is at the end
-            if cut:
-                yield finish([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-            if most is not None and len(held[0]) > most:
-                yield out(held, 1, held[keys], held[keys + 1], held[0], held[1])
-                held, passed = None, last
-        if held is not None and len(held[0]):
-            yield finish(held)
+            if cut or key != last:
+                held.append([c[:cut] for c in new])
+                whole = [np.concatenate(x) for x in zip(*held)]
+                if len(whole[0]):
+                    yield finish(whole)
+                held, last = [], key
+            held.append([c[cut:] for c in new])
+            if most is not None and sum(len(h[0]) for h in held) > most:
+                for h in held:
+                    yield out(h, 1, h[keys], h[keys + 1], h[0], h[1])
+                held, last, passed = [], None, key
+        if held:
+            yield finish([np.concatenate(x) for x in zip(*held)])
 
     return run
 
