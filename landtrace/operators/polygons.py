@@ -18,7 +18,7 @@ from landtrace.functions.geometry import bucket as bucket_of
 from landtrace.functions.geometry import great_circle
 
 EDGE = ["x1", "y1", "x2", "y2"]
-BRANCH = 16
+BRANCH = 32
 NOWHERE = -(2**62)
 
 
