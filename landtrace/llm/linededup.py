@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landtrace.llm.common import BLANKS, let, outer_id, packed, settle
+from landtrace.llm.common import BLANKS, keyed, let, outer_id, packed, settle
 
 EVERY = 3
 KEY = ["_id", "_v"]
@@ -46,56 +46,64 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n"]), "\n")
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with lines and chunks; a NULL text has neither."""
-    rows = packed(docs, id_col, text_col)
-    text = F.col("_row")[text_col].cast("string")
-    return rows.withColumn("_lines", F.split(text, "\n")).withColumn(
-        "_chunks", F.when(F.col("_lines").isNotNull(), let(F.col("_lines"), _chunks)))
-
-
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hash and place of every chunk with two lines or more that have words."""
-    lines = F.col("_lines")
-    rows = _cut(docs, id_col, text_col).select(*KEY, F.transform("_chunks", lambda c: F.struct(
-        c["no"].alias("no"), c["n"].alias("n"),
-        F.size(F.filter(F.slice(lines, c["start"] + 1, c["n"]), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).alias("words"),
-        F.xxhash64(_chunk_text(lines, c)).alias("h1"), F.xxhash64(F.lit(1), _chunk_text(lines, c)).alias("h2"),
-    )).alias("_c"))
-    rows = rows.select(*KEY, F.explode("_c").alias("_c"))
-    return rows.filter("_c.words >= 2").select(
-        *KEY, F.col("_c.no").alias("_no"), F.col("_c.h1").alias("_h1"), F.col("_c.h2").alias("_h2"))
+
+    def described(lines: Column) -> Column:
+        def one(c: Column) -> Column:
+            worded = F.size(F.filter(F.slice(lines, c["start"] + 1, c["n"]), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+            return F.when((c["n"] >= 2) & (worded >= 2), let(_chunk_text(lines, c), lambda text: F.struct(
+                c["no"].alias("no"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))))
+
+        return F.filter(F.transform(_chunks(lines), one), lambda x: x.isNotNull())
+
+    rows = keyed(docs, id_col, text_col).select(*KEY, F.explode(let(F.split("_text", "\n"), described)).alias("_c"))
+    return rows.select(*KEY, F.col("_c.no").alias("_no"), F.col("_c.h1").alias("_h1"), F.col("_c.h2").alias("_h2"))
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _v, _no) of the chunks to remove."""
-    found = _occurrences(docs, id_col, text_col)
+    found = settle(_occurrences(docs, id_col, text_col))
     twice = found.groupBy(*HASH).agg(
         F.count("*").alias("_n"), F.min(F.struct(*KEY, "_no")).alias("_first")).filter("_n > 1").drop("_n")
     places = settle(found.join(twice, HASH).select(
         *KEY, "_no", *HASH, (F.struct(*KEY, "_no") != F.col("_first")).alias("_later")))
     # compare the bytes
     wanted = places.groupBy(*KEY).agg(F.collect_set("_no").alias("_nos"))
-    lines = F.col("_lines")
-    texts = _cut(docs, id_col, text_col).select(*KEY, "_lines", "_chunks").join(wanted, KEY).select(
-        F.explode(F.transform("_nos", lambda no: _chunk_text(lines, F.get("_chunks", no)))).alias("_chunk"))
+    nos = F.col("_nos")
+    texts = keyed(docs, id_col, text_col).join(wanted, KEY).select(F.explode(let(
+        F.split("_text", "\n"), lambda lines: let(_chunks(lines), lambda chunks: F.transform(
+            nos, lambda no: _chunk_text(lines, F.get(chunks, no)))))).alias("_chunk"))
     texts = texts.select(F.xxhash64("_chunk").alias("_h1"), F.xxhash64(F.lit(1), "_chunk").alias("_h2"), "_chunk")
     clash = texts.groupBy(*HASH, "_chunk").agg(F.count("*").alias("_n")).groupBy(*HASH).agg(
         F.count("*").alias("_texts")).filter("_texts > 1").select(*HASH)
     return places.filter("_later").join(clash, HASH, "left_anti").select(*KEY, "_no")
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """(text, n): what is left of a text without its chunks ``gone``, and how many lines went."""
+
+    def cut(chunks: Column) -> Column:
+        kept = F.array_except(F.transform(chunks, lambda c: c["no"]), gone)
+        removed = F.aggregate(gone, F.lit(0).cast("long"), lambda a, no: a + F.get(chunks, no)["n"])
+        return F.struct(
+            F.array_join(F.transform(kept, lambda no: _chunk_text(lines, F.get(chunks, no))), "\n").alias("text"),
+            removed.alias("n"))
+
+    return let(_chunks(lines), cut)
+
+
 def _cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = _repeats(docs, id_col, text_col).groupBy(*KEY).agg(F.collect_set("_no").alias("_gone"))
-    rows = _cut(docs, id_col, text_col).join(gone, KEY, "left")
-    lines, chunks = F.col("_lines"), F.col("_chunks")
-    kept = F.array_except(F.transform(chunks, lambda c: c["no"]), F.col("_gone"))
-    text = F.array_join(F.transform(kept, lambda no: _chunk_text(lines, F.get(chunks, no))), "\n")
-    removed = F.aggregate(F.col("_gone"), F.lit(0).cast("long"), lambda a, no: a + F.get(chunks, no)["n"])
+    rows = packed(docs, id_col, text_col).join(gone, KEY, "left")
+    text, gone = F.col("_row")[text_col].cast("string"), F.col("_gone")
+    rest = F.when(gone.isNotNull(), let(F.split(text, "\n"), lambda lines: _without(lines, gone)))
+    rows = rows.select("_id", "_row", text.alias("_text"), rest.alias("_rest"))
+    n_lines = F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1
     return rows.select(
-        "_id", "_row", F.when(F.col("_gone").isNull(), F.col("_row")[text_col].cast("string")).otherwise(text).alias("_text"),
-        F.when(lines.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("_n_removed"),
+        "_id", "_row", F.when(F.col("_rest").isNull(), F.col("_text")).otherwise(F.col("_rest.text")).alias("_text"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("_n_lines"),
+        F.coalesce("_rest.n", F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
