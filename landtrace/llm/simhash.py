@@ -14,7 +14,8 @@ bucket, pairs are verified in full, and only the links that hold its clusters to
 
 A bucket with more than ``BUCKET`` members is dealt again, by the pigeonhole of its other bits,
 so that its memory stays bounded. NULL and empty texts have fingerprint zero and link like any
-other. A NULL id comes first. Repeated rows come out alike. Other columns are not read.
+other. Nodes are fingerprints, so rows that share an id or have none are not linked by that. A NULL id comes
+first. Repeated rows come out alike. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landtrace.llm.common import outer_id, packed, row_id, settle, ship
+from landtrace.llm.common import keyed, outer_id, packed, settle, ship
 from landtrace.llm.components import components
 
 WORDS = 4
@@ -61,9 +62,9 @@ def fingerprint(data: bytes, words: int = WORDS, block: int = 250_000) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             prints = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints.view("<i8"))], ["_id", "_v", "_fp"])
 
     return run
 
@@ -358,31 +359,33 @@ def near_duplicates(
     bucket: int = BUCKET,
 ) -> DataFrame:
     """Every row's id, fingerprint (16 hex digits) and component (its smallest id)."""
-    out = _components(docs, id_col, text_col, words, distance, bucket)
-    return out.select(
+    rows, placed = _components(docs, id_col, text_col, words, distance, bucket)
+    return rows.join(placed, "_fp").select(
         outer_id().alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
-        outer_id("_root").alias("component_id"))
+        outer_id("_first._id").alias("component_id"))
 
 
-def _components(docs, id_col, text_col, words, distance, bucket) -> DataFrame:
-    texts = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = settle(texts.mapInArrow(_fingerprints(words), "_id long, _fp long"))
-    prints = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_node")))
-    roots = components(links(prints, distance, bucket))
-    placed = prints.join(roots, F.col("_node") == F.col("node"), "left").select(
-        "_fp", F.coalesce("root", "_node").alias("_root"))
-    return rows.join(placed, "_fp")
+def _components(docs, id_col, text_col, words, distance, bucket) -> tuple[DataFrame, DataFrame]:
+    """(_id, _v, _fp) of every row; (_fp, _root, _first) with the component's number and its smallest (_id, _v)."""
+    texts = keyed(docs, id_col, text_col)
+    rows = settle(texts.mapInArrow(_fingerprints(words), "_id long, _v long, _fp long"))
+    prints = settle(rows.groupBy("_fp").agg(F.min(F.struct("_id", "_v")).alias("_own")))
+    roots = components(links(prints.select("_fp", F.col("_fp").alias("_node")), distance, bucket))
+    placed = prints.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("_root"), "_own")
+    firsts = placed.groupBy("_root").agg(F.min("_own").alias("_first"))
+    return rows, placed.join(firsts, "_root").select("_fp", "_root", "_first")
 
 
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE,
     bucket: int = BUCKET,
 ) -> DataFrame:
-    """One row of ``docs``, with all its columns, for each component: that with the smallest id."""
-    kept = _components(docs, id_col, text_col, words, distance, bucket).filter("_id = _root").select("_id").distinct()
-    rows = packed(docs, id_col, text_col).join(kept, "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_v"))
-    return rows.withColumn("_nth", first).filter("_nth = 1").select("_row.*")
+    """One row of ``docs``, with all its columns, for each component: that with the smallest id (then text hash)."""
+    _, placed = _components(docs, id_col, text_col, words, distance, bucket)
+    kept = placed.select("_first._id", "_first._v").distinct()
+    # equal rows of an id and a text become one before they meet
+    rows = packed(docs, id_col, text_col).groupBy("_id", "_v").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return rows.join(kept, ["_id", "_v"], "left_semi").select("_row.*")
 
 
 ship(__name__)

@@ -99,3 +99,15 @@ def test_keep_one_and_empty(spark):
     components = {r["component_id"] for r in near_duplicates(docs).collect()}
     assert sorted(map(str, components)) == sorted(str(r["doc_id"]) for r in kept.collect())
     assert near_duplicates(empty(spark)).count() == 0 and keep_one(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_are_not_one_node(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(40)) for k in range(6)]
+    docs = documents(spark, [(None, texts[0]), (None, texts[1]), (5, texts[1]), (6, texts[2]), (6, texts[3]), (7, texts[3]), (8, texts[4]),
+                             (8, texts[4])])
+    kept = Counter(pairs(keep_one(docs)))
+    assert kept == Counter([(None, texts[0]), (None, texts[1]), (6, texts[2]), (6, texts[3]), (8, texts[4])])
+    # one row links two others only if it is near both
+    docs = documents(spark, [(3, texts[0]), (3, texts[1]), (1, texts[0]), (2, texts[1])])
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect())
+    assert got == Counter([(1, 1), (3, 1), (2, 2), (3, 2)])
