@@ -4,7 +4,8 @@ A gear hash rolls over the UTF-8 bytes of a text; where its top bits are zero a
 chunk has at least ``SHORTEST`` bytes and a character ends there too. So boundaries follow the content and an
 insertion moves only those beside it. Chunks are compared by a 128-bit digest. A chunk that also
 stands earlier (smaller id, or further up) is a repeat, and a run of neighbouring repeats of at
-least ``PASSAGE`` bytes is removed: shorter ones are everyday phrases, and stay.
+least ``PASSAGE`` bytes is removed: shorter ones are nearly always everyday phrases, and stay. A text that repeats as a whole
+is removed however short it is.
 
 NULL and empty texts have no chunk and come out empty. Rows that repeat an id and a text count as one document
 and come out alike; rows that share only the id are ordered by their text's hash. A NULL id comes
@@ -25,7 +26,7 @@ from landtrace.llm.common import keyed, outer_id, ship
 
 TOP_BITS = 4
 SHORTEST, LONGEST = 16, 256
-PASSAGE = 150
+PASSAGE = 100
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 KEY = ["_id", "_v"]
 
@@ -108,7 +109,10 @@ def _keep(least: int):
             out = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "text": []}
             for raw, repeats in zip(texts, batch.column(2).to_pylist()):
                 raw = raw or b""
-                spans = passages([r["s"] for r in repeats or ()], [r["n"] for r in repeats or ()], least)
+                places = [r["s"] for r in repeats or ()], [r["n"] for r in repeats or ()]
+                spans = passages(*places, least)
+                if passages(*places, 1) == [(0, len(raw))]:  # a copy as a whole
+                    spans = [(0, len(raw))]
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])

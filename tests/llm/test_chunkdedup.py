@@ -60,3 +60,24 @@ def test_planted_passages(spark):
     for i in range(10, 60):
         assert rows[i]["n_removed"] > 0.5 * len(planted[i % 10])
         assert rows[i]["n_removed"] <= len(planted[i % 10]) + 2
+
+
+def test_short_copies_go_as_a_whole(spark):
+    short = "a short text, é"
+    texts = [(1, short), (2, short), (3, short), (4, f"{short} and more"), (5, "x" * 99), (6, "x" * 99), (7, ""), (None, "z" * 20), (8, "z" * 20)]
+    rows = {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_passages(documents(spark, texts)).collect()}
+    n = len(short.encode())
+    assert rows == {1: (0, short), 2: (n, ""), 3: (n, ""), 4: (0, f"{short} and more"), 5: (0, "x" * 99), 6: (99, ""), 7: (0, ""),
+                    None: (0, "z" * 20), 8: (20, "")}
+
+
+def test_a_passage_of_one_hundred_bytes_goes(spark):
+    rng = random.Random(3)
+    ends, raw = [], ""
+    while not any(100 <= b - a < 150 for k, a in enumerate(ends) for b in ends[k + 1:]):
+        raw = "".join(rng.choices("abcdefghij ", k=260))
+        ends = chunk_ends(np.frombuffer(raw.encode(), np.uint8))[:-1]
+    a, b = next((a, b) for k, a in enumerate(ends) for b in ends[k + 1:] if 100 <= b - a < 150)
+    texts = [(1, raw), (2, "Q" * 300 + raw[a - 16:b] + "R" * 40)]
+    rows = {r["doc_id"]: r["n_removed"] for r in dedup_passages(documents(spark, texts)).collect()}
+    assert rows[1] == 0 and b - a <= rows[2] < 150
