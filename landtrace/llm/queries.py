@@ -17,9 +17,12 @@ from landtrace.llm.licenses import TEMPLATES, scan_licences
 from landtrace.llm.linededup import line_report
 from landtrace.llm.packing import pack
 from landtrace.llm.quality import host_quality
+from landtrace.llm.resampling import resample
+from landtrace.llm.setjoin import jaccard_components
 from landtrace.llm.sharding import kd_shards
 from landtrace.llm.simhash import near_duplicates
 from landtrace.llm.suffixdedup import dedup_substrings
+from landtrace.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -235,3 +238,64 @@ def _(spark, sf_dir):
 @query("op3_best_fit_packing")
 def _(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+def _crc_sql() -> str:
+    """CRC-32 of the distinct words of ``words`` by its rule: a table of 256 remainders, then one step per byte."""
+    return """crc as (select list(list_reduce(list_prepend(i, range(8)),
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select unnest(range(256)) as i)),
+kinds as (select w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))),
+        lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 as bucket
+      from (select w from dw union select w from bw) cross join crc)"""
+
+
+RESAMPLING_SQL = f"""
+with d as (select doc_id, {_words_sql("coalesce(text, '')")} as w from documents),
+dw as (select doc_id, unnest(w) as w from d),
+bw as (select unnest({_words_sql("coalesce(text, '')")}) as w from benchmark),
+{_crc_sql()},
+s as (select bucket, count(*) as s from dw join kinds using (w) group by 1),
+t as (select bucket, count(*) as t from bw join kinds using (w) group by 1),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (select count(*) + 10000 from dw)::double
+        / ((coalesce(s, 0) + 1)::double * (select count(*) + 10000 from bw)::double)))::bigint as g
+      from (select unnest(range(10000)) as bucket) left join s using (bucket) left join t using (bucket)),
+f as (select doc_id, count(*) as n, floor(sum(g) / count(*))::bigint as weight from dw join kinds using (w) join g using (bucket) group by 1),
+a as (select doc_id, len(w) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+      from d left join f using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from a where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from r) then rank end as rank
+from a left join r using (doc_id)
+"""
+
+
+@query("op13_importance_resampling", RESAMPLING_SQL)
+def _(spark, sf_dir):
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), share=(10, 100))
+
+
+@query("op11_embedding_whitening")
+def _(spark, sf_dir):
+    rows = whiten(read(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+JACCARD_SQL = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) end)) as s from d),
+k as materialized (select s, min(doc_id) as k from s where len(s) > 0 group by 1),
+e as materialized (select k, len(s) as n, unnest(s) as x from k),
+p as materialized (select a.k as a, b.k as b from e a join e b on a.x = b.x and a.k < b.k and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+      group by a.k, b.k, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l as materialized (select a, b from p union all select b, a from p),
+r as (select a, a as root from l union select l.b, r.root from r join l on l.a = r.a)
+select doc_id, len(s.s)::bigint as n_shingles, coalesce(c.root, k.k, doc_id) as component_id
+from s left join k on s.s = k.s left join (select a, min(root) as root from r group by 1) c on c.a = k.k
+"""
+
+
+@query("op12_ngram_jaccard_join", JACCARD_SQL)
+def _(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents"))
