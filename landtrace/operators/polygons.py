@@ -169,6 +169,13 @@ def nearest_edges(cells: DataFrame, edges: DataFrame, bucket: float, extent: flo
     return pairs.join(inside, ["ex", "ey"]).groupBy("bx", "by").agg(F.collect_set(edge).alias("near"))
 
 
+def home_polygon(points: DataFrame, edges: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """Each point once with its cell and ``_home``, the smallest ``poly_id`` that it lies in (NULL outside all)."""
+    at_home = F.array_min(_found(bucket))
+    placed = _in_cell(points, bucket).join(polygon_index(edges, bucket), ["bx", "by"], "left")
+    return placed.select("bx", "by", *points.columns, at_home.alias("_home"))
+
+
 def nearest_polygon(points: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float = 180.0) -> DataFrame:
     """Each point once, with its nearest polygon and the distance (0 inside one).
 
@@ -176,9 +183,7 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, bucket: float = 1.0, ex
     others. The smallest ``poly_id`` wins a tie. ``extent`` bounds the coordinates of the layer
     (180 for degrees); an edge beyond it is an error.
     """
-    at_home = F.array_min(_found(bucket))
-    placed = _in_cell(points, bucket).join(polygon_index(edges, bucket), ["bx", "by"], "left")
-    placed = placed.select("bx", "by", *points.columns, at_home.alias("_home"))
+    placed = home_polygon(points, edges, bucket)
     outside = F.col("_home").isNull() & (F.col("bx") != NOWHERE) & (F.col("by") != NOWHERE)
     cells = placed.filter(outside).select("bx", "by").distinct()
     found = placed.join(nearest_edges(cells, edges, bucket, extent), ["bx", "by"], "left")

@@ -12,6 +12,7 @@ from landtrace.operators.cycles import CELL, band_join, cycle_bounds, number_cyc
 from landtrace.operators.ids import surrogate_ids
 from landtrace.operators.panel import ever_class, mask_cells, year_bands
 from landtrace.operators.polygons import nearest_polygon
+from landtrace.operators.sphere import nearest_on_sphere
 from landtrace.operators.series import band_series, series_classes, series_cycles
 from landtrace.spec import ConversionSpec
 
@@ -62,10 +63,15 @@ def with_cell_ids(df: DataFrame, mask: DataFrame) -> DataFrame:
 
 def extract_mask(
     mask_wide: DataFrame, edges: DataFrame, bucket: float = 1.0, extent: float = 180.0, decimals: int | None = None,
+    spherical: bool = False,
 ) -> DataFrame:
-    """Mask cells with a global id, the nearest municipality and the point as text."""
-    cells = mask_wide.filter(F.col("area") != 0)
-    placed = nearest_polygon(surrogate_ids(cells), edges, bucket, extent)
+    """Mask cells with a global id, the nearest municipality and the point as text.
+
+    Coordinates are degrees. ``spherical`` measures along great circles; else degrees are a plane, in which a degree of
+    longitude is as long as one of latitude.
+    """
+    cells = surrogate_ids(mask_wide.filter(F.col("area") != 0))
+    placed = nearest_on_sphere(cells, edges, bucket=bucket) if spherical else nearest_polygon(cells, edges, bucket, extent)
     return placed.select(
         "cell_id", "tile_id", "tile_cell_id", "area", F.col("poly_id").alias("code_muni"), "x", "y",
         point_text(F.col("x"), F.col("y"), decimals).alias("coords"),

@@ -78,6 +78,17 @@ def _(t):
     return conversion.extract_mask(t.mask_wide, t.edges, bucket=0.25, decimals=6)
 
 
+@query("p03_extract_mask_sphere", sql("""
+    select row_number() over (order by w.tile_id, w.tile_cell_id) as cell_id, w.tile_id, w.tile_cell_id, w.area,
+      n.poly_id as code_muni, w.x, w.y,
+      concat('POINT (', cast(cast(w.x as decimal(18, 6)) as varchar), ' ',
+             cast(cast(w.y as decimal(18, 6)) as varchar), ')') as coords
+    from mask_wide w join mask m using (tile_id, tile_cell_id) join nearest_sphere n on n.cell_id = m.cell_id
+    where w.area <> 0""", "mask_wide", "nearest_sphere"))
+def _(t):
+    return conversion.extract_mask(t.mask_wide, t.edges, bucket=0.25, decimals=6, spherical=True)
+
+
 @query("p04_candidate_cells", sql(f"""
     select cell_id from panel group by 1
     having bool_or(class_code = 3) and bool_or(class_code in {AGRI})""", "panel"))

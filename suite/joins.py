@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtrace.operators import joins, polygons
+from landtrace.operators import joins, polygons, sphere
 from landtrace.operators.cycles import band_join
 from landtrace.plans.conversion import conversion_cycles
 from landtrace.plans.validation import compare_measures
@@ -115,6 +115,13 @@ def _(t):
     return near.select("cell_id", "poly_id", F.round("distance", 9).alias("distance"))
 
 
+@query("j11_nearest_sphere", sql("""
+    select cell_id, poly_id, round(metres, 3) as distance from nearest_sphere""", "nearest_sphere"))
+def _(t):
+    near = sphere.nearest_on_sphere(t.mask.select("cell_id", "x", "y"), t.edges, bucket=0.25)
+    return near.select("cell_id", "poly_id", F.round("distance", 3).alias("distance"))
+
+
 @query("j12_inside", sql("select cell_id, poly_id from located where inside", "located"))
 def _(t):
     return polygons.points_inside(t.mask, t.edges, bucket=0.25).select("cell_id", "poly_id")

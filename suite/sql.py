@@ -54,6 +54,8 @@ def _recursion(panel: str) -> tuple[str, str, str]:
     return opened, spans, length
 
 
+_HAVERSINE = """2 * asin(least(1.0, sqrt(pow(sin(radians({y} - y) / 2), 2)
+          + cos(radians(y)) * cos(radians({y})) * pow(sin(radians({x} - x) / 2), 2))))"""
 _o, _s, _l = _recursion("panel")
 _eo, _es, _el = _recursion("panel_events")
 
@@ -113,6 +115,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             group by 1, 2) c"""),
     "nearest": (("located",), """select cell_id, poly_id, sqrt(d2) as distance from located
       qualify row_number() over (partition by cell_id order by d2, poly_id) = 1"""),
+    # great circles: haversine to the ends, the angle to the edge's plane where the foot lies between them
+    "arcs": (("edges",), """select poly_id, x1, y1, x2, y2, ux, uy, uz, vx, vy, vz,
+        uy * vz - uz * vy as nx, uz * vx - ux * vz as ny, ux * vy - uy * vx as nz
+      from (select *, cos(radians(y1)) * cos(radians(x1)) as ux, cos(radians(y1)) * sin(radians(x1)) as uy, sin(radians(y1)) as uz,
+              cos(radians(y2)) * cos(radians(x2)) as vx, cos(radians(y2)) * sin(radians(x2)) as vy, sin(radians(y2)) as vz from edges) e"""),
+    "located_sphere": (("mask", "arcs", "located"), f"""select cell_id, poly_id, min(case when
+          (ny * uz - nz * uy) * px + (nz * ux - nx * uz) * py + (nx * uy - ny * ux) * pz >= 0
+          and (vy * nz - vz * ny) * px + (vz * nx - vx * nz) * py + (vx * ny - vy * nx) * pz >= 0
+        then asin(least(1.0, abs(nx * px + ny * py + nz * pz) / sqrt(nx * nx + ny * ny + nz * nz)))
+        else least({_HAVERSINE.format(x='x1', y='y1')}, {_HAVERSINE.format(x='x2', y='y2')}) end) * 6371008.8::double as metres
+      from (select cell_id, x, y, cos(radians(y)) * cos(radians(x)) as px, cos(radians(y)) * sin(radians(x)) as py, sin(radians(y)) as pz
+            from mask) m cross join arcs group by 1, 2"""),
+    "nearest_sphere": (("located_sphere", "located"), """select cell_id, poly_id, case when inside then 0 else metres end as metres
+      from located_sphere join located using (cell_id, poly_id)
+      qualify row_number() over (partition by cell_id order by case when inside then 0 else metres end, poly_id) = 1"""),
     "observed": (("mask", "c_length"), """select *, agri_year - forest_year as c_length from (
         select m.cell_id as sample_id, m.cell_id,
           cast(case when m.cell_id % 11 = 0 then 0 else coalesce(forest_year, 1999) + m.cell_id % 7 - 3 end as int) as forest_year,
