@@ -14,10 +14,10 @@ def _nearest(col: Column) -> Column:
     return F.floor(col + 0.5)
 
 
-def hex_bin(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """Axial index (``hex_q``, ``hex_r``) of the hexagon, ``size`` wide, around each point."""
+def hex_bin(df: DataFrame, x: str, y: str, size: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Axial index (``hex_q``, ``hex_r``) of the hexagon, ``size`` wide, around each point; ``origin`` is the centre of (0, 0)."""
     side = size / math.sqrt(3)
-    px, py = F.col(x), F.col(y)
+    px, py = F.col(x) - origin[0], F.col(y) - origin[1]
     q = (px * (math.sqrt(3) / 3) - py / 3) / side
     r = (py * (2 / 3)) / side
     rq, rr, rs = _nearest(q), _nearest(r), _nearest(-q - r)

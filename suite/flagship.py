@@ -172,6 +172,37 @@ def _(t):
     return majority_hexagons(t, False)
 
 
+# a hexagon and a polygon share an area if a corner of one lies in the other, or if their sides cross
+SIDE_07 = "0.7::double / sqrt(3.0::double)"
+def shapes(na_rm: bool) -> str:
+    majority = hexagons(na_rm)
+    head, zones = majority.split("select hex_q, hex_r, c_length, n, round(x, 9)", 1)
+    zones = zones[zones.index("from (select *, (hex_q"):zones.index("cross join edges")].rstrip()
+    return f"""{head.rstrip()}, zones as materialized (select hex_q, hex_r, c_length, n, x as hx, y as hy {zones}),
+    corners as (select hex_q, hex_r, hx, hy, k, hx + {SIDE_07} * cos(radians(30 + 60 * k)) as ax, hy + {SIDE_07} * sin(radians(30 + 60 * k)) as ay,
+        hx + {SIDE_07} * cos(radians(90 + 60 * k)) as bx, hy + {SIDE_07} * sin(radians(90 + 60 * k)) as b_y
+      from (select distinct hex_q, hex_r, hx, hy from zones) cross join (select unnest(range(6)) as k)),
+    met as (
+      select hex_q, hex_r, poly_id from corners join edges on
+        ((bx - ax) * (y1 - ay) - (b_y - ay) * (x1 - ax)) * ((bx - ax) * (y2 - ay) - (b_y - ay) * (x2 - ax)) < 0
+        and ((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * ((x2 - x1) * (b_y - y1) - (y2 - y1) * (bx - x1)) < 0
+      union
+      select hex_q, hex_r, poly_id from (
+        select hex_q, hex_r, k, poly_id, count(*) filter ((y1 > ay) <> (y2 > ay)
+          and x1 + (ay - y1) * (x2 - x1) / (y2 - y1) > ax) % 2 as odd from corners cross join edges group by 1, 2, 3, 4) c where odd = 1
+      union
+      select hex_q, hex_r, poly_id from (
+        select hex_q, hex_r, poly_id, x1, y1, bool_and((bx - ax) * (y1 - ay) - (b_y - ay) * (x1 - ax) > 0) as held
+        from corners cross join edges group by 1, 2, 3, 4, 5) v where held)
+    select hex_q, hex_r, c_length, n, poly_id from zones join met using (hex_q, hex_r)"""
+
+
+@query("p08_hex_majority_shapes", shapes(True))
+def _(t):
+    found = raster.hex_majority_shapes(t.grid, t.rings, step=STEP, size=0.7, factor=2, min_n=2, na_rm=True)
+    return found.filter("area > 1e-12").select("hex_q", "hex_r", "c_length", "n", "poly_id")
+
+
 @query("p09_length_frequency", sql(f"""
     select c_length, count(*) as n from c_length where {ticket_sql("concat(cell_id, '|', agri_cycle)", 2, 0.1)} group by 1""", "c_length"))
 def _(t):

@@ -109,6 +109,12 @@ def _(t):
     return hexgrid.hex_bin(t.mask, "x", "y", 0.7).select("cell_id", "hex_q", "hex_r")
 
 
+@query("r09_hex_origin", sql(f"""select cell_id, {HEX_ROUND}
+    from {HEX.format(source='(select cell_id, x - 0.31::double as x, y + 0.12::double as y from mask)', size=0.7)}""", "mask"))
+def _(t):
+    return hexgrid.hex_bin(t.mask, "x", "y", 0.7, origin=(0.31, -0.12)).select("cell_id", "hex_q", "hex_r")
+
+
 @query("r10_zonal_majority", sql(f"""
     select * from (select * from (
       select hex_q, hex_r, c_length, count(*) as n from (

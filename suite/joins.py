@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtrace.operators import joins, polygons, sphere
+from landtrace.operators import joins, overlay, polygons, sphere
 from landtrace.operators.cycles import band_join
 from landtrace.plans.conversion import conversion_cycles
 from landtrace.plans.validation import compare_measures
@@ -127,6 +127,40 @@ def _(t):
     return polygons.points_inside(t.mask, t.edges, bucket=0.25).select("cell_id", "poly_id")
 
 
+# the clipped parts of a polygon add up to it, hole and all
+@query("j12_clip_hexagons", sql("""
+    select poly_id, round(sum(case when ring = 0 then abs(a) else -abs(a) end), 9) as area
+    from (select poly_id, ring, sum(x1 * y2 - x2 * y1) / 2 as a from edges group by 1, 2) r group by 1""", "edges"))
+def _(t):
+    parts = overlay.clip_to_hexagons(overlay.mark_holes(t.rings), 0.13, origin=(0.02, -0.01))
+    areas = overlay.clipped_areas(parts, ["hex_q", "hex_r"])
+    return areas.groupBy("poly_id").agg(F.round(F.sum("area"), 9).alias("area"))
+
+
+# by a line integral of the edges' heights, held within the tile
+def _above(y: str) -> str:
+    return f"""case when {y} <= y0 then 0 when {y} <= y0 + 0.3::double then ({y} - y0) * ({y} - y0) / 2
+      else 0.045::double + 0.3::double * ({y} - y0 - 0.3::double) end"""
+
+
+@query("j12_clip_tiles", sql(f"""
+    select tile_x, tile_y, poly_id, round(area, 9) as area from (
+      select tile_x, tile_y, poly_id, sum(case when ring = 0 then abs(a) else -abs(a) end) as area from (
+        select tile_x, tile_y, poly_id, ring, sum(case when yb = ya then (xb - xa) * greatest(0, least(0.3::double, ya - y0))
+            else (xb - xa) / (yb - ya) * (({_above('yb')}) - ({_above('ya')})) end) as a from (
+          select *, tile_y * 0.3::double as y0, y1 + (xa - x1) * (y2 - y1) / (x2 - x1) as ya,
+            y1 + (xb - x1) * (y2 - y1) / (x2 - x1) as yb from (
+            select *, greatest(least(x1, tile_x * 0.3::double + 0.3::double), tile_x * 0.3::double) as xa,
+              greatest(least(x2, tile_x * 0.3::double + 0.3::double), tile_x * 0.3::double) as xb
+            from edges cross join (select unnest(range(-1, 18)) as tile_x) cross join (select unnest(range(-1, 18)) as tile_y)
+            where x1 <> x2) e) i group by 1, 2, 3, 4) r group by 1, 2, 3) s
+    where round(area, 9) > 0""", "edges"))
+def _(t):
+    areas = overlay.clipped_areas(overlay.clip_to_tiles(overlay.mark_holes(t.rings), 0.3), ["tile_x", "tile_y"])
+    rows = areas.select(F.col("tile_x"), F.col("tile_y"), "poly_id", F.round("area", 9).alias("area"))
+    return rows.filter("area > 0")
+
+
 @query("j13_unmatched_keys", sql("""
     select cell_id from observed where cell_id not in (select cell_id from c_length)""", "observed", "c_length"))
 def _(t):

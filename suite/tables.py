@@ -141,6 +141,16 @@ class Tables:
         x, y = (key % 5).cast("double"), F.floor(key / 5).cast("double")
         return self._layer(self.read("nation"), "n_nationkey", x, y, SEGMENTS)
 
+    @cached_property
+    def rings(self) -> DataFrame:
+        """The nations' polygons as shapes."""
+        key = F.col("n_nationkey")
+        x, y = (key % 5).cast("double"), F.floor(key / 5).cast("double")
+        shapes = F.inline(F.array(*[
+            F.struct(F.lit(ring).alias("ring"), F.array(*[
+                F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in points]).alias("points")) for ring, points in CORNERS]))
+        return self.read("nation").select(key.cast("int").alias("poly_id"), shapes)
+
     @cached_property
     def plots(self) -> DataFrame:
         key = F.col("s_suppkey")
