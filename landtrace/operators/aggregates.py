@@ -4,10 +4,14 @@ reaches the final task as a few partial rows per mapper."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landtrace.sources.scratch import scratch_path
+
 
 def histogram(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
@@ -134,3 +138,51 @@ def grouped_density(
         .groupBy(*by, "grid_id", "x")
         .agg((F.sum(F.col("_n") * kernel) / (F.sum("_n") * F.lit(scale))).alias("density"))
     )
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float] = (0.05, 0.25, 0.75, 0.95), bins: int = 1024,
+) -> DataFrame:
+    """Exact quantiles (linear interpolation) of a continuous measure: ``by`` and ``quantiles``, an array like ``probs``.
+
+    Distributed selection: for each rank that is asked for, the range that holds it is cut into ``bins``, and the bin that holds it
+    becomes the next range, from its smallest to its largest value, until these are equal. Each pass aggregates map-side to at
+    most ``bins`` rows per group and rank, so no buffer grows with the values. NULL and NaN don't count; groups of them alone drop out.
+    """
+    spark = df.sparkSession
+    number = F.col(value).cast("double")
+    path = scratch_path(spark, "quantiles")
+    df.filter(number.isNotNull() & ~F.isnan(number)).groupBy(*by, number.alias("_v")).agg(F.count("*").alias("_n")).write.parquet(path)
+    counted = spark.read.parquet(path)
+    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    places = F.array(*[F.lit(float(p)) for p in probs])
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(
+        F.floor((F.col("_size") - 1) * p), F.ceil((F.col("_size") - 1) * p)))))
+    found = sizes.select(*by, "_size", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), "_lo", "_hi")
+    same = reduce(and_, [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by])
+    step = 0
+    while True:
+        found.write.parquet(f"{path}-{step}")
+        found = spark.read.parquet(f"{path}-{step}")
+        open_ranges = found.filter("_lo < _hi")
+        if open_ranges.isEmpty():
+            break
+        inside = counted.alias("c").join(open_ranges.alias("r"), same & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # halves, so that the width of a range of very large numbers stays finite
+        at = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)
+        bin_ = F.when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(F.least(at, F.lit(bins - 1)))
+        keys = [F.col(f"r.{k}").alias(k) for k in by]
+        counts = inside.groupBy(*keys, "_size", "_rank", "_below", bin_.alias("_bin")).agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = Window.partitionBy(*by, "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        narrowed = counts.filter("_rank >= _below and _rank < _below + _n").select(found.columns)
+        found, step = found.filter("_lo = _hi").unionByName(narrowed), step + 1
+    values = found.groupBy(*by).agg(F.first("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_at"))
+
+    def quantile(p: Column) -> Column:
+        place = (F.col("_size") - 1) * p
+        low, high = F.col("_at")[F.floor(place)], F.col("_at")[F.ceil(place)]
+        return low + (high - low) * (place - F.floor(place))
+
+    return values.select(*by, F.transform(places, quantile).alias("quantiles"))

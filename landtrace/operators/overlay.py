@@ -98,12 +98,16 @@ def halved(rings: DataFrame, most: int = 256) -> DataFrame:
     pass moves rows.
     """
     largest = rings.agg(F.max(F.size("points"))).first()[0] or 0
-    passes = max(0, math.ceil(math.log2(max(1, largest) / most))) + 1 if largest > most else 0
+    passes = math.ceil(math.log2(largest / most)) + 3 if largest > most else 0  # cuts add corners, so a few more
     for _ in range(passes):
         left, right, low, high = _spans(F.col("points"))
         wide = (right - left) >= (high - low)
         places = F.when(wide, F.transform("points", lambda p: p["x"])).otherwise(F.transform("points", lambda p: p["y"]))
-        split = rings.withColumns({"_wide": wide, "_at": F.get(F.array_sort(places), F.floor(F.size("points") / 2).cast("int"))})
+        start, end = (F.when(wide, a).otherwise(b) for a, b in ((left, low), (right, high)))
+        middle = F.get(F.array_sort(places), F.floor(F.size("points") / 2).cast("int"))
+        # corners that an earlier cut put on the ring's own edge divide nothing
+        middle = F.when((middle > start) & (middle < end), middle).otherwise((start + end) / 2)
+        split = rings.withColumns({"_wide": wide, "_at": middle})
         along = [F.when(F.col("_wide"), F.lit(1.0)).otherwise(F.lit(0.0)), F.when(F.col("_wide"), F.lit(0.0)).otherwise(F.lit(1.0))]
         sides = [clipped(F.col("points"), F.array(half_plane(s * along[0], s * along[1], s * F.col("_at")))) for s in (1, -1)]
         both = F.when(F.size("points") > most, F.array(*sides)).otherwise(F.array(F.col("points").cast(POINTS)))

@@ -51,6 +51,15 @@ def write_bucketed(df: DataFrame, table: str, path: str, by: str = "cell_id", bu
     )
 
 
+def attach_bucketed(spark: SparkSession, table: str, path: str, by: str = "cell_id", buckets: int = 200) -> DataFrame:
+    """A table of ``write_bucketed``, named in this session's catalogue if it isn't yet; ``buckets`` as when it was written."""
+    if not spark.catalog.tableExists(table):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"""create table {table} ({fields}) using parquet
+            clustered by ({by}) sorted by ({by}) into {buckets} buckets location '{path}'""")
+    return spark.table(table)
+
+
 def append_observations(df: DataFrame, path: str) -> None:
     """Append interpreted samples; the length is end minus begin."""
     rows = df.select(

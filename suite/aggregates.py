@@ -76,6 +76,17 @@ def _(t):
     return bands.withColumns({"min": F.round("min", 9), "max": F.round("max", 9)})
 
 
+@query("a07_exact_quantiles", """
+    select l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.05), 6) as q05, round(quantile_cont(l_extendedprice, 0.25), 6) as q25,
+      round(quantile_cont(l_extendedprice, 0.75), 6) as q75, round(quantile_cont(l_extendedprice, 0.95), 6) as q95
+    from lineitem group by 1, 2""")
+def _(t):
+    by = ["l_returnflag", "l_linestatus"]
+    found = aggregates.exact_quantiles(t.read("lineitem"), by, "l_extendedprice")
+    names = ("q05", "q25", "q75", "q95")
+    return found.select(*by, *[F.round(F.col("quantiles")[k], 6).alias(name) for k, name in enumerate(names)])
+
+
 @query("a08_majority_ties", sql("""
     select * from (select tile_id, c_length, count(*) as n from tiled group by 1, 2) k
     qualify rank() over (partition by tile_id order by n desc) = 1""", "tiled"))
@@ -203,3 +214,9 @@ def _(t):
 @query("m02_fixed_sample", sql(f"select cell_id, area from mask order by {SAMPLE}, cell_id limit 100", "mask"))
 def _(t):
     return sampling.sample_n(t.mask.select("cell_id", "area"), "cell_id", 100, seed=123)
+
+
+@query("m02_half_sample", sql(f"""
+    select cell_id, area from mask qualify row_number() over (order by {SAMPLE}, cell_id) <= (select count(*) // 2 from mask)""", "mask"))
+def _(t):
+    return sampling.sample_many(t.mask.select("cell_id", "area"), "cell_id", t.mask.count() // 2, seed=123)

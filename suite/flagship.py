@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from landtrace.plans import conversion, raster, stored, summaries, validation
@@ -216,15 +218,22 @@ AREA = """select k.conversion, c.forest_type, c.c_length,
     where agri_cycle = 1 group by 1, 2, 3, 4"""
 
 
-@query("p10_area_by_year", sql(f"""
+AREA_BY_YEAR = sql(f"""
     select conversion, forest_type, c_length, concat(year, '-01-01') as year,
-      round(cast(total_area as double) / 1e6, 9) as total_area from ({AREA}) a""", "c_length", "mask"))
-def _(t):
-    return summaries.area_by_year(t.c_length, t.mask).withColumns({
+      round(cast(total_area as double) / 1e6, 9) as total_area from ({AREA}) a""", "c_length", "mask")
+
+
+def area_by_year(c_length, mask):
+    return summaries.area_by_year(c_length, mask).withColumns({
         "year": F.col("year").cast("string"), "total_area": F.round("total_area", 9),
     })
 
 
+@query("p10_area_by_year", AREA_BY_YEAR)
+def _(t):
+    return area_by_year(t.c_length, t.mask)
+
+
 @query("p11_length_ridges", sql(f"""
     select concat(agri_year, '-01-01') as agri_year, c_length, name_state
     from c_length c left join mask m using (cell_id) left join municip u using (code_muni)
@@ -264,8 +273,8 @@ CROSSTAB = sql("select round(total_perc, 9) as total_perc, agri_code, " + ", ".j
 ) + " from parts group by total_perc, agri_code", "parts")
 
 
-def crosstab(t, c_length, c_classes):
-    table = summaries.followup_crosstab(summaries.followup_counts(c_length, c_classes), t.classes)
+def crosstab(t, c_length, c_classes, count=summaries.followup_counts):
+    table = summaries.followup_crosstab(count(c_length, c_classes), t.classes)
     return table.withColumns({c: F.round(c, 9) for c in ["total_perc", *FOLLOW_UP_CLASSES]})
 
 
@@ -280,3 +289,43 @@ def _(t):
     root = scratch_path(t.spark, "stored")
     stored.store_conversions(t.panel, t.mask, t.spec, root)
     return crosstab(t, *stored.read_stored(t.spark, root))
+
+
+def by_cell(t):
+    """(c_length, c_classes, mask) written in the same buckets of cells."""
+    root, prefix = scratch_path(t.spark, "buckets"), f"b{uuid.uuid4().hex}"
+    frames = {stored.LENGTH: t.c_length, stored.CLASSES: t.c_classes, stored.MASK: t.mask}
+    stored.store_by_cell(frames, root, prefix, buckets=8)
+    return stored.open_by_cell(t.spark, list(frames), root, prefix, buckets=8)
+
+
+@query("p14_followup_bucketed", CROSSTAB)
+def _(t):
+    length, classes, _ = by_cell(t)
+    return crosstab(t, length, classes, stored.stored_followup_counts)
+
+
+@query("p10_area_bucketed", AREA_BY_YEAR)
+def _(t):
+    length, _, mask = by_cell(t)
+    return area_by_year(length, mask)
+
+
+SPLIT = 1997  # years from here on come as a refresh, the last one separately
+
+
+def refreshed(t):
+    root = scratch_path(t.spark, "state")
+    stored.start_state(t.panel.filter(F.col("year") < SPLIT), t.spec, root)
+    stored.add_years(t.panel.filter(F.col("year").between(SPLIT, SPLIT + 1)), t.spec, root, 1)
+    return stored.add_years(t.panel.filter(F.col("year") > SPLIT + 1), t.spec, root, 2)
+
+
+@query("p01_refreshed", sql(f"select {LENGTH} from c_length", "c_length"))
+def _(t):
+    return refreshed(t)[0]
+
+
+@query("p02_refreshed", sql("select * from c_classes", "c_classes"))
+def _(t):
+    return refreshed(t)[1]
