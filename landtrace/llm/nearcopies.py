@@ -1,191 +1,35 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, by prefix filtering: if the shingles of all sets stand in one common order, two sets that are
-similar enough share one of the first ``n - ceil(0.8 n) + 1`` shingles of either. By estimate, fingerprints at
-0.8 differ in 10 of 64 bits on average and often in more, too many to search by parts; so SimHash isn't
-used to find these pairs. Any order is right; the one here puts shingles that a sample of
-the texts repeats last, and so keeps common ones out of the prefixes. A shared shingle's place bounds
-what two sets can share, which spares most comparisons; all other candidates are compared in full.
+Exact, by the set join of ``setjoin`` with its own parameters. By estimate, fingerprints at 0.8 differ in 10 of 64 bits on average
+and often in more, too many to search by parts of the bits; so SimHash isn't used to find these pairs.
 
-Only components are needed, so documents that share a shingle are first compared with one of them,
-and what is still apart after that is compared pair by pair. Rows with the same set of shingles
-are one node, whatever their ids. Words are lower-cased in ASCII; shingles are compared by 64-bit
-hashes, sets by 128-bit digests. A text with fewer words is one shingle; NULL, empty and blank texts have
-the empty set and are copies of each other. A NULL id comes first.
+Rows with the same set of shingles are one node, whatever their ids. Words are lower-cased in ASCII; shingles are
+compared by 64-bit hashes, sets by 128-bit digests. A text with fewer words is one shingle; NULL, empty and blank texts have
+the empty set and are copies of each other. A NULL id comes first. An empty table gives an empty one. A very long text is one
+set in memory, 8 bytes a shingle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landtrace.llm.common import keyed, packed, settle, ship
-from landtrace.llm.components import components
+from landtrace.llm.common import packed
+from landtrace.llm.setjoin import similar_sets
 
 WORDS = 5
 SIMILARITY = (4, 5)
-SAMPLE = 20_000  # about so many texts give the order of common shingles, and so many shingles have a place in it
-COMMON = 100_000
-STARS = 2
 KEY = ["_id", "_v"]
-DIGEST = ["_d1", "_d2"]
-
-
-def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of a UTF-8 text's shingles."""
-    import xxhash
-
-    parts = data.lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    size, digest = min(words, len(parts)), xxhash.xxh3_64_intdigest
-    each = np.fromiter(map(digest, parts), np.uint64, len(parts))
-    n = len(parts) - size + 1
-    mixed = np.full(n, size, np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ each[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
-
-
-def _digest(shingles: np.ndarray) -> tuple[int, int]:
-    import xxhash
-
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """The first shingles in the order: those not in ``common`` by hash, then the others by ``place``."""
-    n, (num, den) = len(shingles), similarity
-    if not n:
-        return shingles
-    long = n - -(-num * n // den) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, place[at], 0)
-        shingles = shingles[np.argsort(rank, kind="stable")]
-    return shingles[:long]
-
-
-def _sampled(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py() or b"", words).view(np.int64))], ["_s"])
-
-    return run
-
-
-def _described(words: int, common: np.ndarray, place: np.ndarray, similarity: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                sets = [shingle_set(t.as_py() or b"", words) for t in some.column(2).cast(pa.binary())]
-                digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-                firsts = [prefix(s, common, place, similarity).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    some.column(0), some.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                    [*KEY, *DIGEST, "_n", "_prefix"])
-
-    return run
-
-
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(0).slice(lo, 512).cast(pa.binary())]
-                digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], [*DIGEST, "_set"])
-
-    return run
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that a sample of the distinct texts repeats most, sorted, and their places in the order."""
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod("_v", F.lit(every)) == 0).groupBy("_v").agg(F.first("_text").alias("_text"))
-    counted = sample.select("_text").mapInArrow(_sampled(words), "_s long").groupBy("_s").agg(F.count("*").alias("_n"))
-    top = counted.filter("_n > 2").orderBy(F.desc("_n"), "_s").limit(COMMON).toArrow()
-    found = top.column("_s").to_numpy().view(np.uint64)
-    order = np.argsort(found)
-    return found[order], (len(found) - np.arange(len(found)))[order]
-
-
-def _may(a: str, b: str, similarity: tuple[int, int]) -> Column:
-    """Whether two sets with this shingle as their first common one can be similar enough."""
-    num, den = similarity
-    left = F.least(F.col(f"{a}._n") - F.col(f"{a}._pos"), F.col(f"{b}._n") - F.col(f"{b}._pos"))
-    return left * (num + den) >= num * (F.col(f"{a}._n") + F.col(f"{b}._n"))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes that are similar enough."""
-    num, den = similarity
-    nodes = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    needed = settle(rows.select("_row", *KEY, *DIGEST).join(nodes, F.col("_row") == F.col("_node")).select("_node", *KEY, *DIGEST))
-    found = texts.join(needed.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
-    sets = found.select("_text").mapInArrow(_sets(words), "_d1 long, _d2 long, _set array<long>")
-    sets = settle(needed.select("_node", *DIGEST).join(sets.dropDuplicates(DIGEST), DIGEST).select("_node", "_set"))
-    left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x"))
-    right = sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y"))
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return settle(pairs.join(left, "a").join(right, "b").filter(
-        shared * (num + den) >= num * (F.size("_x") + F.size("_y"))).select("a", "b"))
-
-
-def _rooted(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Buckets that lie in more than one component, with ``_root`` for each node."""
-    rows = buckets.join(components(edges), F.col("_node") == F.col("node"), "left").select(
-        "_s", "_node", "_n", "_pos", F.coalesce("root", "_node").alias("_root"))
-    apart = rows.groupBy("_s").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).filter("_a <> _b").select("_s")
-    return settle(rows.join(apart, "_s", "left_semi"))
 
 
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     similarity: tuple[int, int] = SIMILARITY,
 ) -> DataFrame:
-    """(_id, _v, _root): each row's key and its component, which is a number."""
-    texts = keyed(docs, id_col, text_col)
-    common, place = _common(texts, words)
-    kinds = "_id long, _v long, _d1 long, _d2 long, _n long, _prefix array<long>"
-    rows = settle(texts.mapInArrow(_described(words, common, place, similarity), kinds).withColumn(
-        "_row", F.monotonically_increasing_id()))
-    nodes = settle(rows.groupBy(*DIGEST).agg(F.min("_row").alias("_node")))
-    single = rows.join(nodes.select("_node"), F.col("_row") == F.col("_node"), "left_semi")
-    places = single.select(F.col("_row").alias("_node"), "_n", F.posexplode("_prefix").alias("_pos", "_s"))
-    shared = places.groupBy("_s").agg(F.count("*").alias("_k")).filter("_k > 1").select("_s")
-    buckets = settle(places.join(shared, "_s", "left_semi").withColumn("_root", F.col("_node")))
-
-    edges = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            middle = F.min(F.struct(F.xxhash64(F.lit(turn), "_root").alias("h"), "_root", "_node", "_n", "_pos")).alias("m")
-            both = buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias("x")).join(
-                buckets.groupBy("_s").agg(middle), "_s").select("x", F.col("m").alias("y"))
-        else:
-            one, two = (buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias(c)) for c in "xy")
-            both = one.join(two, "_s").filter("x._node < y._node")
-        pairs = both.filter("x._root <> y._root").filter(_may("x", "y", similarity)).select(
-            F.least("x._node", "y._node").alias("a"), F.greatest("x._node", "y._node").alias("b")).distinct()
-        found = _verified(settle(pairs), rows, texts, words, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        if turn < STARS:
-            buckets = _rooted(buckets, edges)
-    placed = nodes.join(components(edges), F.col("_node") == F.col("node"), "left").select(
-        *DIGEST, F.coalesce("root", "_node").alias("_root"))
-    return rows.select(*KEY, *DIGEST).join(placed, DIGEST).select(*KEY, "_root")
+    """(_id, _v, _root): each row's key and its component, which is a number; -1 is that of the texts without words."""
+    rows, placed = similar_sets(docs, id_col, text_col, words, similarity)
+    digest = ["_d1", "_d2"]
+    return rows.join(placed.select(*digest, "_root"), digest, "left").select(*KEY, F.coalesce("_root", F.lit(-1)).alias("_root"))
 
 
 def keep_one_of_each(
@@ -198,6 +42,3 @@ def keep_one_of_each(
     # equal rows of an id and a text become one before they meet
     rows = packed(docs, id_col, text_col).groupBy(*KEY).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return rows.join(kept, KEY, "left_semi").select("_row.*")
-
-
-ship(__name__)

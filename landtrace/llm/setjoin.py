@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from landtrace.llm.common import keyed, outer_id, settle, ship
 from landtrace.llm.components import components
-from landtrace.llm.nearcopies import shingle_set
+from landtrace.llm.shingles import shingle_set
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -185,22 +185,15 @@ def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [keys.flatten(), pa.array(np.repeat(np.asarray(some.column(0)), each)), pa.array(flags)], ["_s", "_node", "_f"])
 
 
-def _set_rows(words: int):
-    """A node's set, once for each task that meets it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                nodes, sets = [], []
-                for node, text in zip(batch.column(0).slice(lo, 64).to_pylist(), batch.column(1).slice(lo, 64).cast(pa.binary())):
-                    if node not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        sets.append(shingle_set(text.as_py() or b"", words).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["_node", "_set"])
-
-    return run
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_g1, _g2, _node, ...) without those that a task has seen before: repeated rows of an id and a text."""
+    seen: set[tuple[int, int, int]] = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch if all(fresh) else batch.filter(pa.array(fresh))
 
 
 class _Forest:
@@ -253,13 +246,13 @@ def linked(sets: list[np.ndarray], sides: list[int], roots: list[int], similarit
     return found
 
 
-def _compared(similarity: tuple[int, int]):
-    """Links within each group of rows (_g1, _g2, _node, _root, _side, _set), which arrive sorted by group and node."""
+def _compared(words: int, similarity: tuple[int, int]):
+    """Links within each group of rows (_g1, _g2, _node, _root, _side, _text), which arrive sorted by group and node."""
 
     def found_in(group: list) -> list[tuple[int, int]]:
         if len(group) < 2:
             return []
-        found = linked([np.frombuffer(g[3], np.uint64) for g in group], [g[2] for g in group], [g[1] for g in group], similarity)
+        found = linked([g[3] for g in group], [g[2] for g in group], [g[1] for g in group], similarity)
         return [(group[i][0], group[j][0]) for i, j in found]
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -270,12 +263,13 @@ def _compared(similarity: tuple[int, int]):
         now, group = None, []
         for batch in batches:
             pairs = []
-            for g1, g2, *rest in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+            texts = batch.column(5).cast(pa.binary())
+            for g1, g2, node, root, side, text in zip(*[batch.column(k).to_pylist() for k in range(5)], texts):
                 if (g1, g2) != now:
                     pairs += found_in(group)
                     now, group = (g1, g2), []
-                if not group or group[-1][0] != rest[0]:
-                    group.append(rest)
+                if not group or group[-1][0] != node:
+                    group.append((node, root, side, shingle_set(text.as_py() or b"", words)))
             yield out(pairs)
         yield out(found_in(group))
 
@@ -289,18 +283,18 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def _verified(groups: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) in ``groups`` (_g1, _g2, _node, _root, _side), each a bounded number of shingles."""
-    groups = settle(groups)
-    named = groups.select("_node").distinct().join(rows.select(F.col("_row").alias("_node"), "_id", "_v"), "_node")
-    sets = texts.join(_bounded(settle(named)), ["_id", "_v"]).select("_node", "_text").mapInArrow(
-        _set_rows(words), "_node long, _set binary")
-    full = groups.join(sets, "_node").select("_g1", "_g2", "_node", "_root", "_side", "_set")
+    named = groups.join(rows.select(F.col("_row").alias("_node"), "_id", "_v"), "_node")
+    kinds = "_g1 long, _g2 long, _node long, _root long, _side int, _text string"
+    full = texts.join(_bounded(settle(named)), ["_id", "_v"]).select("_g1", "_g2", "_node", "_root", "_side", "_text").mapInArrow(_once, kinds)
     full = full.repartition("_g1", "_g2").sortWithinPartitions("_g1", "_g2", "_node")
-    return settle(full.mapInArrow(_compared(similarity), "a long, b long"))
+    return settle(full.mapInArrow(_compared(words, similarity), "a long, b long"))
 
 
 def _shared_entries(places: DataFrame) -> DataFrame:
     """(_s, _node, _f, _c): the entries that lead somewhere, ``_c`` the number of nodes that have it."""
-    by_key = places.repartition("_s")
+    # node and flags travel as one number
+    by_key = places.select("_s", (F.shiftleft("_node", 4) + F.col("_f")).alias("_p")).repartition("_s").select(
+        "_s", F.shiftright("_p", 4).alias("_node"), F.col("_p").bitwiseAND(F.lit(15).cast("long")).cast("byte").alias("_f"))
     useful = by_key.groupBy("_s").agg(F.count("*").alias("_c"), F.bit_or("_f").alias("_any")).filter(
         (F.col("_c") > 1) & (F.col("_any").bitwiseAND(PROBE + EXACT) == PROBE + EXACT))
     return settle(by_key.join(useful.select("_s", "_c"), "_s"))
@@ -363,11 +357,11 @@ def _bands(texts: DataFrame, similarity: tuple[int, int]) -> tuple[list[int], li
     return edges, docs
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY,
-    weight: int = WEIGHT,
-) -> DataFrame:
-    """Every row's ``id_col``, n_shingles and component_id, the smallest id in its component."""
+def similar_sets(
+    docs: DataFrame, id_col: str, text_col: str, words: int, similarity: tuple[int, int], weight: int = WEIGHT,
+) -> tuple[DataFrame, DataFrame]:
+    """(_id, _v, _d1, _d2, _n) of every row, its set as digest and size; and (_d1, _d2, _own, _root) of every set with members,
+    its smallest id and the number of its component."""
     texts = keyed(docs, id_col, text_col)
     edges, sizes = _bands(texts, similarity)
     plans = schemes(edges, sizes, similarity)
@@ -389,11 +383,18 @@ def jaccard_components(
     found = _verified(groups, rows, texts, words, similarity)
     rest = _meetings(shared, settle(_rooted(blocks, found)))
     found = found.unionByName(_verified(rest, rows, texts, words, similarity))
+    return rows.select("_id", "_v", *digest, "_n"), settle(_rooted(nodes, found).select(*digest, "_own", "_root"))
 
-    placed = settle(_rooted(nodes, found))
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY,
+    weight: int = WEIGHT,
+) -> DataFrame:
+    """Every row's ``id_col``, n_shingles and component_id, the smallest id in its component."""
+    rows, placed = similar_sets(docs, id_col, text_col, words, similarity, weight)
     least = placed.groupBy("_root").agg(F.min("_own").alias("_least"))
-    named = placed.select(*digest, "_root").join(least, "_root").select(*digest, "_least")
-    linked_rows = rows.filter("_n > 0").select("_id", *digest, "_n").join(named, digest).select(
+    named = placed.join(least, "_root").select("_d1", "_d2", "_least")
+    linked_rows = rows.filter("_n > 0").join(named, ["_d1", "_d2"]).select(
         outer_id().alias(id_col), F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id"))
     return linked_rows.unionByName(rows.filter("_n = 0").select(
         outer_id().alias(id_col), F.col("_n").alias("n_shingles"), outer_id().alias("component_id")))

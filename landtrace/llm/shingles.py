@@ -1,0 +1,29 @@
+"""Sets of word shingles."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from landtrace.llm.common import ship
+
+
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of a UTF-8 text's shingles."""
+    import xxhash
+
+    parts = data.lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    size, digest = min(words, len(parts)), xxhash.xxh3_64_intdigest
+    each = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    n = len(parts) - size + 1
+    mixed = np.full(n, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ each[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
+
+
+ship(__name__)

@@ -6,8 +6,9 @@ import pytest
 
 import corpus_pipeline
 from compare import difference
+from fixtures import pairs
 from landtrace.llm.queries import QUERIES, SQL
-from landtrace.llm.simhash import near_duplicates
+from test_nearcopies import groups
 
 NATIVE = ["op1_line_dedup", "op5_benchmark_decontamination", "op7_license_scan", "op9_kd_shards", "op10_host_quality"]
 
@@ -42,8 +43,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert cut.columns == columns and cut.count() == kept.count()
 
     single = stages[names[2]](spark, cut, sf_dir).cache()
-    groups = {r["component_id"] for r in near_duplicates(cut).collect()}
-    assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(groups)
+    firsts = [min(i for i, _ in g) for g in groups(pairs(cut))]
+    assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(firsts)
 
     clean = stages[names[3]](spark, single, sf_dir).cache()
     assert clean.columns == columns and 0 < clean.count() < single.count()
