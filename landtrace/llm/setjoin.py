@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtrace.llm.common import keyed, outer_id, settle, ship
@@ -41,8 +41,11 @@ WORDS = 4
 SIMILARITY = (85, 100)
 GROWTH = 1.6  # of a band's sizes
 WEIGHT = 500_000  # shingles in a block
+MEETING = 200  # entries that cost as much as bringing two texts together
 KEEP = 1_000_000  # ids that are broadcast at most
-PROBE, EXACT, DOUBLE, STRICT = 1, 2, 4, 8  # flags of an entry
+PROBE, EXACT, DOUBLE = 1, 2, 4  # flags of an entry, above them the units in which partners must meet
+NEED = 3  # bits below those
+MOST = 127  # the largest such number that is kept; fewer units are asked for beyond it
 
 
 def most_apart(size: int, similarity: tuple[int, int]) -> int:
@@ -98,14 +101,14 @@ def allocate(band: int, low: int, high: int, docs: float, similarity: tuple[int,
     for spare in sorted({s for s in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, apart // 16, apart // 8) if s <= apart + 1}):
         units = apart + 1 + spare
         for deep in sorted({d for d in (0, 1, 2, 3, 4, units // 4, units // 2) if 2 * d <= units}):
-            share, skip = low / units, max(0, spare - 1)
+            share, skip = low / units, spare // 2
             entries = units - deep + deep * 2 * high / units
             plain, pair = math.exp(-share), math.exp(-2 * share) * (1 + 2 * share)
             weak = (units - 2 * deep) * plain + 2 * deep * pair
             meeting = docs * docs * _excess(weak, skip) * max(plain if units > 2 * deep else 0.0, pair if deep else 0.0)
-            cost = docs * entries + 2 * meeting
+            cost = docs * entries + MEETING * meeting
             if best is None or cost < best[0]:
-                best = cost, Scheme(band, units, deep, skip, 2 if spare else 1)
+                best = cost, Scheme(band, units, deep, skip, min(MOST, spare - skip + 1))
     return best[1]
 
 
@@ -135,14 +138,14 @@ def entries(members: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray
     search = np.ones(scheme.segments, bool)
     search[smallest[np.cumsum(cost[smallest]) <= scheme.skip]] = False
     base = _mix(np.arange(scheme.segments, dtype=np.uint64) + np.uint64(scheme.band << 40))
-    strict = STRICT if scheme.need > 1 else 0
-    found, flags = [_mix(content ^ base)], [EXACT + PROBE * search + DOUBLE * (cost == 2) + strict]
+    need = scheme.need << NEED
+    found, flags = [_mix(content ^ base)], [EXACT + PROBE * search + DOUBLE * (cost == 2) + need]
     left = segment < scheme.deep
     if left.any():
         at = segment[left]
         found.append(_mix((content[at] - weight[left]) ^ base[at]))
-        flags.append(PROBE * search[at] + strict)
-    return np.concatenate(found), np.concatenate(flags).astype(np.int8)
+        flags.append(PROBE * search[at] + need)
+    return np.concatenate(found), np.concatenate(flags).astype("<i2")
 
 
 def _indexed(words: int, edges: list[int], plans: list[Scheme], similarity: tuple[int, int]):
@@ -180,7 +183,7 @@ def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(lo, 256)
             keys = some.column(1)
             each = np.asarray(pc.list_value_length(keys))
-            flags = np.frombuffer(b"".join(f.as_py() for f in some.column(2)), np.int8)
+            flags = np.frombuffer(b"".join(f.as_py() for f in some.column(2)), "<i2")
             yield pa.RecordBatch.from_arrays(
                 [keys.flatten(), pa.array(np.repeat(np.asarray(some.column(0)), each)), pa.array(flags)], ["_s", "_node", "_f"])
 
@@ -292,20 +295,31 @@ def _verified(groups: DataFrame, rows: DataFrame, texts: DataFrame, words: int,
 
 def _shared_entries(places: DataFrame) -> DataFrame:
     """(_s, _node, _f, _c): the entries that lead somewhere, ``_c`` the number of nodes that have it."""
-    # node and flags travel as one number
-    by_key = places.select("_s", (F.shiftleft("_node", 4) + F.col("_f")).alias("_p")).repartition("_s").select(
-        "_s", F.shiftright("_p", 4).alias("_node"), F.col("_p").bitwiseAND(F.lit(15).cast("long")).cast("byte").alias("_f"))
+    # node and flags travel as one number: 33 bits for a row of a partition, 20 for the partition, 10 for the flags
+    by_key = places.select("_s", (F.shiftleft("_node", 10) + F.col("_f")).alias("_p")).repartition("_s").select(
+        "_s", F.shiftright("_p", 10).alias("_node"), F.col("_p").bitwiseAND(F.lit(1023).cast("long")).cast("short").alias("_f"))
     useful = by_key.groupBy("_s").agg(F.count("*").alias("_c"), F.bit_or("_f").alias("_any")).filter(
         (F.col("_c") > 1) & (F.col("_any").bitwiseAND(PROBE + EXACT) == PROBE + EXACT))
-    return settle(by_key.join(useful.select("_s", "_c"), "_s"))
+    found = settle(by_key.join(useful.select("_s", "_c"), "_s"))
+    # a set that shares too few units in every scheme has no partner
+    enough = found.groupBy("_node", F.shiftright("_f", NEED).alias("_need")).agg(F.sum(_units(F.col("_f"))).alias("_u")).filter("_u >= _need")
+    return settle(found.join(enough.select("_node").distinct(), "_node", "left_semi"))
+
+
+def _units(flags: Column) -> Column:
+    return F.when(flags.bitwiseAND(DOUBLE) > 0, 2).otherwise(1)
 
 
 def _blocks(shared: DataFrame, sizes: DataFrame, weight: int) -> DataFrame:
-    """(_node, _home, _part, _block): nodes by the busiest set they share an entry with, in parts of about ``weight``
-    shingles; ``_block`` is the part's smallest node."""
-    busy = shared.groupBy("_node").agg(F.sum("_c").alias("_busy"))
+    """(_node, _home, _part, _block): nodes by the set that they share most with, in parts of about ``weight``
+    shingles; ``_block`` is the part's smallest node.
+
+    An entry's hub is the set with most shared entries among those that have it, a set's home the hub of most of its entries.
+    """
+    busy = shared.groupBy("_node").agg(F.sum(_units(F.col("_f"))).alias("_busy"))
     hubs = shared.select("_s", "_node").join(busy, "_node").groupBy("_s").agg(F.max(F.struct("_busy", "_node")).alias("_hub"))
-    homes = shared.select("_s", "_node").join(hubs, "_s").groupBy("_node").agg(F.max("_hub").alias("_hub")).join(sizes, "_node")
+    each = shared.select("_s", "_node").join(hubs, "_s").groupBy("_node", "_hub").agg(F.count("*").alias("_k"))
+    homes = each.groupBy("_node").agg(F.max(F.struct("_k", "_hub")).alias("_m")).join(sizes, "_node").withColumn("_hub", F.col("_m._hub"))
     homes = settle(homes.select("_node", "_n", F.col("_hub._node").alias("_home")))
     parts = homes.groupBy("_home").agg(F.ceil(F.sum("_n") / weight).cast("long").alias("_parts"))
     parted = homes.join(parts, "_home").select(
@@ -328,10 +342,8 @@ def _meetings(shared: DataFrame, blocks: DataFrame) -> DataFrame:
         F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.bit_or("_f").alias("_any"))
     met = placed.join(there, "_s").filter("_block <> _other and (_r1 <> _root or _r2 <> _root)").filter(
         (F.col("_any").bitwiseAND(PROBE) > 0) & (F.col("_any").bitwiseOR(F.col("_f")).bitwiseAND(EXACT) > 0))
-    strict = F.col("_f").bitwiseAND(STRICT) > 0
-    units = F.when(F.col("_f").bitwiseAND(DOUBLE) > 0, 2).otherwise(1)
-    enough = met.groupBy("_block", "_other", "_node", "_root", strict.alias("_strict")).agg(F.sum(units).alias("_units")).filter(
-        "_units >= if(_strict, 2, 1)")
+    need = F.shiftright("_f", NEED).alias("_need")
+    enough = met.groupBy("_block", "_other", "_node", "_root", need).agg(F.sum(_units(F.col("_f"))).alias("_units")).filter("_units >= _need")
     groups = enough.select(
         F.least("_block", "_other").alias("_g1"), F.greatest("_block", "_other").alias("_g2"), "_node", "_root",
         (F.col("_block") > F.col("_other")).cast("int").alias("_side")).distinct()
@@ -373,7 +385,7 @@ def similar_sets(
         F.min("_row").alias("_node"), F.min("_n").alias("_n"), F.min("_own").alias("_own")))
     repeats = settle(light.join(nodes.select(*digest, "_node"), digest).filter("_row <> _node").select("_row"))
     places = rows.filter(F.length("_flags") > 0).join(_bounded(repeats), "_row", "left_anti").select("_row", "_keys", "_flags").mapInArrow(
-        _entry_rows, "_s long, _node long, _f byte")
+        _entry_rows, "_s long, _node long, _f short")
     shared = _shared_entries(places)
     blocks = _blocks(shared, nodes.select("_node", "_n"), weight)
 
