@@ -171,13 +171,12 @@ def leaf_pairs(points: DataFrame, arcs: DataFrame) -> DataFrame:
     there = arcs.groupBy("_leaf").agg(F.max("r").alias("r"))
     deepest = here.select("_leaf").unionByName(there.select("_leaf")).agg(F.max(_code_parts(F.col("_leaf"))[0])).first()[0] or 0
     pairs = None
-    for level in range(deepest + 1):
-        up, now = (_towards(F.col("_leaf"), k) for k in (max(0, level - 1), level))
+    for level in range(1, max(1, deepest) + 1):
+        up, now = (_towards(F.col("_leaf"), k) for k in (level - 1, level))
         p = here.select(up.alias("_p0"), now.alias("_p")).distinct()
         e = there.groupBy(up.alias("_e0"), now.alias("_e")).agg(F.max("r").alias("r"))
-        if pairs is None:
-            p, e = p.select("_p"), e.select("_e", "r")
-            tried = p.withColumn("_one", F.lit(1)).join(e.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one cell each
+        if pairs is None:  # the children of the one cell of level 0, at most 512 on each side
+            tried = p.join(e, F.col("_p0") == F.col("_e0")).select("_p", "_e", "r")
         else:
             above = pairs.select(F.col("_p").alias("_p0"), F.col("_e").alias("_e0"))
             tried = above.join(p, "_p0").join(e, "_e0").select("_p", "_e", "r")
