@@ -7,11 +7,15 @@ used to find these pairs. Any order is right; the one here puts shingles that a
 the texts repeats last, and so keeps common ones out of the prefixes. A shared shingle's place bounds
 what two sets can share, which spares most comparisons; all other candidates are compared in full.
 
-Only components are needed, so documents that share a shingle are first compared with one of them,
-and what is still apart after that is compared pair by pair. Rows with the same set of shingles
+Only components are needed, so documents that share a shingle are first compared with one of them, in
+``STARS`` turns; what is still apart after that meets pair by pair, in tasks of two blocks where many share the
+shingle. Before any text moves, each candidate pair is held against a sketch of both sets: the number of shingles in each of up to
+``BINS`` bins. The smaller numbers of all bins, added up, are the most that two sets can share, so no
+similar pair is lost and hardly any other is left. Texts of the pairs that are left move and are compared in full. Rows with the same set of shingles
 are one node, whatever their ids. Words are lower-cased in ASCII; shingles are compared by 64-bit
 hashes, sets by 128-bit digests. A text with fewer words is one shingle; NULL, empty and blank texts have
-the empty set and are copies of each other. A NULL id comes first.
+the empty set and are copies of each other. A NULL id comes first. An empty table gives an empty result. A very
+long text costs a fifth of its shingles in the search and moves only if its sketch fits another's.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ WORDS = 5
 SIMILARITY = (4, 5)
 SAMPLE = 20_000  # about so many texts give the order of common shingles, and so many shingles have a place in it
 COMMON = 100_000
-STARS = 2
+STARS = 3
+BINS = 4096
+CROWD = 64  # members of a shingle from which on pairs are formed inside tasks
+BLOCK = 512
 KEY = ["_id", "_v"]
 DIGEST = ["_d1", "_d2"]
 
@@ -73,6 +80,20 @@ def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similari
     return shingles[:long]
 
 
+def sketch(shingles: np.ndarray, bins: int = BINS) -> bytes:
+    """Shingles by bin, a byte each; empty where a byte is too small, which any pair passes."""
+    size = min(bins, 1 << max(4, len(shingles).bit_length() - 1))
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The most shingles that the set of sketch ``one`` can share with each row of ``others``."""
+    size = min(len(one), others.shape[1])
+    one, others = (x.reshape(len(x), -1, size).sum(axis=1, dtype=np.uint32) for x in (one[None, :], others))
+    return np.minimum(one, others).sum(axis=1)
+
+
 def _sampled(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,23 +111,78 @@ def _described(words: int, common: np.ndarray, place: np.ndarray, similarity: tu
                 sets = [shingle_set(t.as_py() or b"", words) for t in some.column(2).cast(pa.binary())]
                 digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 firsts = [prefix(s, common, place, similarity).view(np.int64) for s in sets]
+                sketches = pa.array([sketch(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), some.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                    [*KEY, *DIGEST, "_n", "_prefix"])
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64())), sketches],
+                    [*KEY, *DIGEST, "_n", "_prefix", "_sketch"])
 
     return run
 
 
-def _sets(words: int):
+def _possible(similarity: tuple[int, int]):
+    """Pairs whose sketches allow the similarity."""
+    num, den = similarity
+
+    def fits(x: bytes, y: bytes, n: int) -> bool:
+        if not x or not y:
+            return True
+        return int(most_shared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)[None, :])[0]) * (num + den) >= num * n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(0).slice(lo, 512).cast(pa.binary())]
-                digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], [*DIGEST, "_set"])
+            sizes = batch.column(2).to_pylist()
+            keep = [fits(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column(3), batch.column(4), sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _similar(words: int, similarity: tuple[int, int]):
+    """Pairs whose texts are similar enough."""
+    num, den = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, right = None, None  # rows come sorted by b
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), *(batch.column(k).cast(pa.binary()) for k in (2, 3))):
+                if b != last:
+                    last, right = b, shingle_set(y.as_py(), words)
+                left = shingle_set(x.as_py(), words)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both * (num + den) >= num * (len(left) + len(right)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _in_blocks(similarity: tuple[int, int]):
+    """Pairs of two blocks (or inside one) of a crowded shingle that positions, roots and sketches allow."""
+    num, den = similarity
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, n, pos, root, block = (rows.column(c).to_numpy() for c in ("_node", "_n", "_pos", "_root", "_block"))
+        sketches = rows.column("_sketch").to_pylist()
+        one_block = rows.column("_i")[0] == rows.column("_j")[0]
+        lengths = np.array([len(s) for s in sketches])
+        kinds = {}
+        for size in np.unique(lengths):
+            at = np.flatnonzero(lengths == size)
+            data = np.frombuffer(b"".join(sketches[k] for k in at), np.uint8).reshape(len(at), size)
+            kinds[size] = at, data
+        left, right = [], []
+        for k in range(len(node)):
+            for size, (at, data) in kinds.items():
+                ok = (root[at] != root[k]) & (node[at] > node[k]) & (one_block | (block[at] != block[k]))
+                ok &= np.minimum(n[k] - pos[k], n[at] - pos[at]) * (num + den) >= num * (n[k] + n[at])
+                some = np.flatnonzero(ok)
+                if size and lengths[k] and len(some):
+                    shared = most_shared(np.frombuffer(sketches[k], np.uint8), data[some]).astype(np.int64)
+                    some = some[shared * (num + den) >= num * (n[k] + n[at[some]])]
+                left.append(np.full(len(some), node[k], np.int64))
+                right.append(node[at[some]].astype(np.int64))
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     return run
 
@@ -129,19 +205,60 @@ def _may(a: str, b: str, similarity: tuple[int, int]) -> Column:
     return left * (num + den) >= num * (F.col(f"{a}._n") + F.col(f"{b}._n"))
 
 
+PAIR = "a long, b long"
+
+
+def _sketched(pairs: DataFrame, rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sketches allow the similarity."""
+    left = rows.select(F.col("_row").alias("a"), F.col("_n").alias("_k"), F.col("_sketch").alias("_x"))
+    right = rows.select(F.col("_row").alias("b"), F.col("_n").alias("_m"), F.col("_sketch").alias("_y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("_k") + F.col("_m")).alias("_n"), "_x", "_y")
+    return both.mapInArrow(_possible(similarity), PAIR)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """The ``pairs`` (a, b) of nodes that are similar enough."""
-    num, den = similarity
     nodes = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    needed = settle(rows.select("_row", *KEY, *DIGEST).join(nodes, F.col("_row") == F.col("_node")).select("_node", *KEY, *DIGEST))
-    found = texts.join(needed.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
-    sets = found.select("_text").mapInArrow(_sets(words), "_d1 long, _d2 long, _set array<long>")
-    sets = settle(needed.select("_node", *DIGEST).join(sets.dropDuplicates(DIGEST), DIGEST).select("_node", "_set"))
-    left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x"))
-    right = sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y"))
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return settle(pairs.join(left, "a").join(right, "b").filter(
-        shared * (num + den) >= num * (F.size("_x") + F.size("_y"))).select("a", "b"))
+    needed = settle(rows.select(F.col("_row").alias("_node"), *KEY).join(nodes, "_node"))
+    found = settle(texts.join(needed, KEY).select("_node", "_text").dropDuplicates(["_node"]))
+    left, right = (found.select(F.col("_node").alias(c), F.col("_text").alias(t)) for c, t in (("a", "_x"), ("b", "_y")))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").sortWithinPartitions("b")
+    return settle(both.mapInArrow(_similar(words, similarity), PAIR))
+
+
+def _star(buckets: DataFrame, turn: int) -> DataFrame:
+    """Members ``x`` of each bucket with its middle ``y``; later turns choose another one for each bucket."""
+    chance = F.xxhash64(F.lit(turn), "_root") if turn == 0 else F.xxhash64(F.lit(turn), "_s", "_root")
+    middle = F.min(F.struct(chance.alias("h"), "_root", "_node", "_n", "_pos")).alias("y")
+    return buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias("x")).join(
+        buckets.groupBy("_s").agg(middle), "_s").select("x", "y")
+
+
+def _paired(both: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    return both.filter("x._root <> y._root").filter(_may("x", "y", similarity)).select(
+        F.least("x._node", "y._node").alias("a"), F.greatest("x._node", "y._node").alias("b")).distinct()
+
+
+def _rest(buckets: DataFrame, rows: DataFrame, tested: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of all that still lie apart in a bucket."""
+    sizes = buckets.groupBy("_s").agg(F.count("*").alias("_k"))
+    few = buckets.join(sizes.filter(F.col("_k") <= CROWD).select("_s"), "_s", "left_semi")
+    one, two = (few.select("_s", F.struct("_node", "_n", "_pos", "_root").alias(c)) for c in "xy")
+    pairs = _paired(one.join(two, "_s").filter("x._node < y._node"), similarity)
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = _sketched(pairs, rows, similarity)
+
+    many = buckets.join(sizes.filter(F.col("_k") > CROWD).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK)), "_s")
+    many = many.withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
+    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    many = many.join(rows.select(F.col("_row").alias("_node"), "_sketch"), "_node").select(
+        "_s", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
+        "_node", "_n", "_pos", "_root", "_block", "_sketch")
+    crowded = many.groupBy("_s", "_i", "_j").applyInArrow(_in_blocks(similarity), PAIR).distinct()
+    if tested is not None:
+        crowded = crowded.join(tested, ["a", "b"], "left_anti")
+    return pairs.unionByName(crowded).distinct()
 
 
 def _rooted(buckets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,7 +276,7 @@ def near_copies(
     """(_id, _v, _root): each row's key and its component, which is a number."""
     texts = keyed(docs, id_col, text_col)
     common, place = _common(texts, words)
-    kinds = "_id long, _v long, _d1 long, _d2 long, _n long, _prefix array<long>"
+    kinds = "_id long, _v long, _d1 long, _d2 long, _n long, _prefix array<long>, _sketch binary"
     rows = settle(texts.mapInArrow(_described(words, common, place, similarity), kinds).withColumn(
         "_row", F.monotonically_increasing_id()))
     nodes = settle(rows.groupBy(*DIGEST).agg(F.min("_row").alias("_node")))
@@ -168,21 +285,18 @@ def near_copies(
     shared = places.groupBy("_s").agg(F.count("*").alias("_k")).filter("_k > 1").select("_s")
     buckets = settle(places.join(shared, "_s", "left_semi").withColumn("_root", F.col("_node")))
 
-    edges = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            middle = F.min(F.struct(F.xxhash64(F.lit(turn), "_root").alias("h"), "_root", "_node", "_n", "_pos")).alias("m")
-            both = buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias("x")).join(
-                buckets.groupBy("_s").agg(middle), "_s").select("x", F.col("m").alias("y"))
-        else:
-            one, two = (buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias(c)) for c in "xy")
-            both = one.join(two, "_s").filter("x._node < y._node")
-        pairs = both.filter("x._root <> y._root").filter(_may("x", "y", similarity)).select(
-            F.least("x._node", "y._node").alias("a"), F.greatest("x._node", "y._node").alias("b")).distinct()
-        found = _verified(settle(pairs), rows, texts, words, similarity)
+    edges = tested = None
+    for turn in range(STARS):
+        pairs = _paired(_star(buckets, turn), similarity)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = _verified(settle(_sketched(pairs, rows, similarity)), rows, texts, words, similarity)
         edges = found if edges is None else edges.unionByName(found)
-        if turn < STARS:
-            buckets = _rooted(buckets, edges)
+        buckets = _rooted(buckets, edges)
+    found = _verified(settle(_rest(buckets, rows, tested, similarity)), rows, texts, words, similarity)
+    edges = found if edges is None else edges.unionByName(found)
     placed = nodes.join(components(edges), F.col("_node") == F.col("node"), "left").select(
         *DIGEST, F.coalesce("root", "_node").alias("_root"))
     return rows.select(*KEY, *DIGEST).join(placed, DIGEST).select(*KEY, "_root")
