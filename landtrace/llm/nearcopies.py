@@ -34,7 +34,8 @@ WORDS = 5
 SIMILARITY = (4, 5)
 SAMPLE = 20_000  # about so many texts give the order of common shingles, and so many shingles have a place in it
 COMMON = 100_000
-STARS = 3
+STARS = 2
+MIDDLES = 4  # in a turn, members that share many shingles meet about so many others
 BINS = 4096
 CROWD = 64  # members of a shingle from which on pairs are formed inside tasks
 BLOCK = 512
@@ -227,8 +228,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, s
 
 
 def _star(buckets: DataFrame, turn: int) -> DataFrame:
-    """Members ``x`` of each bucket with its middle ``y``; later turns choose another one for each bucket."""
-    chance = F.xxhash64(F.lit(turn), "_root") if turn == 0 else F.xxhash64(F.lit(turn), "_s", "_root")
+    """Members ``x`` of each bucket with its middle ``y``, the same one in buckets of a kind that hold the same members."""
+    chance = F.xxhash64(F.lit(turn), F.pmod("_s", F.lit(MIDDLES)), "_root")
     middle = F.min(F.struct(chance.alias("h"), "_root", "_node", "_n", "_pos")).alias("y")
     return buckets.select("_s", F.struct("_node", "_n", "_pos", "_root").alias("x")).join(
         buckets.groupBy("_s").agg(middle), "_s").select("x", "y")
