@@ -77,15 +77,18 @@ def _(spark, sf_dir):
 
 LINES_SQL = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null),
-l as (select doc_id, unnest(l) as line, unnest(range(len(l))) as i, len(l) as n from d),
-h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
-r as (select *, (h + 31 * coalesce(lag(h) over (partition by doc_id order by i), 0)) % 3 = 0 as ends from h),
-c as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as no from r),
-k as (select doc_id, no, string_agg(line, chr(10) order by i) as chunk, count(*) as n_lines,
-        count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) as words from c group by 1, 2),
-o as (select *, words >= 2 and row_number() over (partition by chunk order by doc_id, no) > 1 as gone from k),
-t as (select doc_id, sum(n_lines)::bigint as n_lines, coalesce(sum(n_lines) filter (gone), 0)::bigint as n_removed_lines,
-        coalesce(string_agg(chunk, chr(10) order by no) filter (not gone), '') as text from o group by 1)
+l as (select doc_id, unnest(l) as line, unnest(range(len(l))) as i from d),
+u as (select *, regexp_matches(line, '[^\x20\x09-\x0D]') as worded, greatest(0, sum(regexp_matches(line, '[^\x20\x09-\x0D]')::int)
+        over (partition by doc_id order by i) - 1)::bigint as k from l),
+h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from u where worded),
+b as (select *, (h + 31 * coalesce(lag(h) over (partition by doc_id order by k), 0)) % 4 <> 0 as ends from h),
+w as (select doc_id, list(line order by k) as w from h group by 1),
+e as (select doc_id, k, least(coalesce(min(case when ends then k end) over (partition by doc_id order by k
+        rows between 1 following and 7 following), k + 7), len(w) - 1) as e, w from b join w using (doc_id)),
+o as (select doc_id, k, e, row_number() over (partition by list_slice(w, k + 1, e + 1) order by doc_id, k) > 1 as gone from e where e > k),
+c as (select distinct doc_id, unnest(range(k, e + 1)) as k from o where gone),
+t as (select doc_id, count(*) as n_lines, count(c.k) as n_removed_lines,
+        coalesce(string_agg(line, chr(10) order by i) filter (c.k is null), '') as text from u left join c using (doc_id, k) group by 1)
 select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed_lines, 0) as n_removed_lines, t.text
 from documents left join t using (doc_id)
 """
