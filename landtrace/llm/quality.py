@@ -2,8 +2,10 @@
 
 A document fails the base rules by itself. Besides, the failures of every rule are added up
 by host. The spread of the hosts' rates gives a beta prior (method of moments), each host's
-rate is shrunk towards the mean by it, and a host with a shrunken rate above ``limit`` in any
-rule loses all its documents.
+rate is shrunk towards the mean by it, and a host with a shrunken rate above the rule's limit in any
+rule loses all its documents. A rule's limit lies ``TAIL`` standard deviations of the prior above its
+mean, but not below ``FLOOR``: a host of which more than three quarters pass stays, so that its good
+documents do; and not above ``limit``: with few hosts the prior is so wide that no rate would exceed it.
 
 NULL and empty texts have no words and fail the base rules. A NULL host is a host of its own.
 Repeated rows are judged each. An empty table gives an empty result. Other columns are not
@@ -12,6 +14,10 @@ read. Two different 8-word windows of one text are taken as equal if their 64-bi
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +26,8 @@ from landtrace.llm.common import BLANKS, blank_words, let, outer_id, packed, row
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LIMIT = 0.5
+FLOOR = 0.25
+TAIL = 3.0
 SALTS = 32
 RULES = ("short", "repeated", "symbols", "dup_lines")
 
@@ -84,7 +92,10 @@ def _features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
 
 
 def host_rates(features: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """One row per host: its documents, its shrunken rate by rule, and whether it is ``bad``."""
+    """One row per host: its documents, its shrunken rate by rule, and whether it is ``bad``.
+
+    ``limit`` is the most that a rule's limit can be.
+    """
     hosts = features.groupBy("_host", "_hostless").agg(
         F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
     hosts = settle(hosts)
@@ -94,13 +105,21 @@ def host_rates(features: DataFrame, limit: float = LIMIT) -> DataFrame:
         *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares") for r in RULES],
     ).first()
 
-    def shrunk(rule: str) -> Column:
+    def prior(rule: str) -> tuple[float, float]:
         mean = (sums[rule] or 0) / (sums["n"] or 1)
-        strength = prior_strength(mean, sums[f"{rule}_squares"] or 0.0, sums["n"] or 1, sums["hosts"] or 1)
-        return ((F.col(rule) + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))).alias(rule)
+        return mean, prior_strength(mean, sums[f"{rule}_squares"] or 0.0, sums["n"] or 1, sums["hosts"] or 1)
+
+    priors = {r: prior(r) for r in RULES}
+    rates = hosts.select("_host", "_hostless", "n", *[
+        ((F.col(r) + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))).alias(r)
+        for r, (mean, strength) in priors.items()])
+    return rates.withColumn("bad", reduce(or_, [F.col(r) > rule_limit(*priors[r], limit) for r in RULES]))
+
 
-    rates = hosts.select("_host", "_hostless", "n", *[shrunk(r) for r in RULES])
-    return rates.withColumn("bad", F.greatest(*[F.col(r) for r in RULES]) > limit)
+def rule_limit(mean: float, strength: float, limit: float = LIMIT) -> float:
+    """The rate that a host may not exceed, from the prior's mean and strength."""
+    spread = math.sqrt(max(mean * (1 - mean), 0.0) / (strength + 1))
+    return min(limit, max(FLOOR, mean + TAIL * spread))
 
 
 def prior_strength(mean: float, squares: float, n: float, hosts: float) -> float:

@@ -63,7 +63,9 @@ m as (select rule, sum(f) / sum(n) as mean, sum(f * f / n) as squares, sum(n) as
 s as (select rule, mean, case when mean * (1 - mean) <= 0 or hosts < 2 then 0 when n / hosts <= 1 then 1 else
         (1 - least(greatest((squares / n - mean * mean - mean * (1 - mean) / (n / hosts)) / (mean * (1 - mean) * (1 - 1 / (n / hosts))), 1e-6), 1))
         / least(greatest((squares / n - mean * mean - mean * (1 - mean) / (n / hosts)) / (mean * (1 - mean) * (1 - 1 / (n / hosts))), 1e-6), 1) end as strength from m),
-b as (select source, max((f + strength * mean) / (h.n + strength)) > 0.5 as bad from h join s using (rule) group by 1)
+b as (select source, bool_or((f + strength * mean) / (h.n + strength)
+        > least(0.5, greatest(0.25, mean + 3 * sqrt(greatest(mean * (1 - mean), 0) / (strength + 1))))) as bad
+      from h join s using (rule) group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short or repeated) as base_failed,
   not (short or repeated) and not bad as kept
 from r join b on r.source is not distinct from b.source

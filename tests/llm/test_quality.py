@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 
 from fixtures import documents, empty, pairs
-from landtrace.llm.quality import host_quality, keep_good, prior_strength
+from compare import difference
+from landtrace.llm.quality import host_quality, keep_good, prior_strength, rule_limit
+from landtrace.llm.queries import QUALITY_SQL
 
 
 def features(text):
@@ -49,3 +51,23 @@ def test_empty_and_prior(spark):
     # hosts that differ as chance would have it count for much, hosts that differ widely for little
     assert prior_strength(0.5, 2 * 50 * 50 / 100, 200, 2) == pytest.approx(1e6, rel=1e-3)
     assert prior_strength(0.5, 100.0 * 100 / 100, 200, 2) < 0.1
+
+
+def test_limit_follows_the_prior(spark):
+    """One host of 21 fails a third of its documents, the others one in fifty: it goes, by SQL as well."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    texts = [(i, " ".join(f"word{i}of{k}" for k in range(10 if i % (3 if i < 60 else 50) == 0 else 30))) for i in range(1260)]
+    docs = documents(spark, texts).withColumn("source", F.concat(F.lit("host"), F.floor(F.col("doc_id") / 60).cast("string")))
+    got = host_quality(docs)
+    kept = {r["doc_id"] for r in got.filter("kept").collect()}
+    assert kept == {i for i in range(60, 1260) if i % 50}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "source", "text").toPandas())
+    assert difference(got, con, QUALITY_SQL) is None
+
+
+def test_limits():
+    assert rule_limit(0.02, 1e6) == 0.25 and rule_limit(0.3, 0.0) == 0.5
+    assert rule_limit(0.2, 15.0) == pytest.approx(0.5) and rule_limit(0.2, 63.0) == pytest.approx(0.35)
