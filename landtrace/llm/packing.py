@@ -4,7 +4,8 @@ A document's ids (with the end id) are first cut into full windows; each is a se
 own. What is left is a piece shorter than a window. Pieces are dealt by hash into groups of
 about ``GROUP`` pieces, and a group is packed in one task: longest piece first, each into the
 open sequence with the least room that still takes it. A segment tree over the room left finds
-that sequence in a dozen steps. Every id lies in exactly one piece.
+that sequence in a dozen steps. Every id lies in exactly one piece. The hash takes a piece's id, place and
+content; where rows repeat all of that so often that a group gets twice its size, the row's number is added.
 
 NULL and empty texts have only the end id. Repeated rows are packed each. An empty table gives
 an empty result. Other columns are not read. A task holds one batch of texts, or one group.
@@ -17,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtrace.llm.common import outer_id, row_id, settle, ship
@@ -26,6 +27,7 @@ from landtrace.llm.tokens import worker_tokenizer
 CAPACITY = 4096
 END_ID = 2
 GROUP = 50_000
+PIECE_KEY = ["_id", "start", "ids_crc32", "length"]
 PIECES = "_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -120,7 +122,7 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
 
 def _place(capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_id", "ascending"), ("start", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in PIECE_KEY])
         sequence, offset = best_fit_decreasing(table.column("length").to_pylist(), capacity)
         group = table.column("_group").to_pylist()
         table = table.append_column("sequence_id", pa.array([g * (1 << 32) + s for g, s in zip(group, sequence)], pa.int64()))
@@ -143,7 +145,13 @@ def pack(
     texts = docs.select(row_id(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     pieces = settle(texts.mapInArrow(_pieces_of(tokenizer_path, capacity, end_id, keep_ids), schema))
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "start"), F.lit(groups)))
+
+    def deal(*more: Column) -> DataFrame:
+        return pieces.withColumn("_group", F.pmod(F.xxhash64(*PIECE_KEY, *more), F.lit(groups)))
+
+    dealt = deal()
+    if (dealt.groupBy("_group").count().agg(F.max("count")).first()[0] or 0) > 2 * group:
+        dealt = deal(F.monotonically_increasing_id())
     placed = dealt.groupBy("_group").applyInArrow(
         _place(capacity), schema + ", _group long, sequence_id long, offset long")
     rest = ["ids"] if keep_ids else []

@@ -88,3 +88,16 @@ def test_ids_on_request(spark):
     docs = documents(spark, [(1, "some words " * 40)])
     rows = pack(docs, PATH, capacity=32, keep_ids=True).orderBy("start").collect()
     assert [x for r in rows for x in r["ids"]] == [*ids_of("some words " * 40), 2]
+
+
+def test_rows_without_id_and_equal_rows_are_dealt(spark):
+    """Neither a NULL id of different texts nor one row many times fills a group."""
+    words = [f"word {k} of its text" for k in range(600)]
+    for texts in ([(None, w) for w in words], [(7, "the same row")] * 600):
+        rows = pack(documents(spark, texts), PATH, group=20).collect()
+        groups, room = defaultdict(int), defaultdict(int)
+        for r in rows:
+            groups[r["sequence_id"] >> 32] += 1
+            room[r["sequence_id"]] += r["length"]
+        assert len(rows) == 600 and len(groups) > 20 and max(groups.values()) <= 60
+        assert max(room.values()) <= 4096
