@@ -141,7 +141,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """All documents are inserted; then copies are deleted and the others revised to count an end id.
 
-    The first batch is sent twice; the second time changes nothing.
+    The first batch is sent twice; the second time changes nothing. The result is the totals after each batch, so
+    those of batch 1 are the counts of the whole table.
     """
     folder = shared_folder(spark, f"ledger-{uuid.uuid4().hex}")
     counted = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -154,7 +155,7 @@ def _(spark, sf_dir):
     revised = counted.withColumns({"op": F.lit("revise"), "seq": F.lit(0), "n_tokens": F.col("n_tokens") + 1})
     deleted = copies(counted).withColumns({"op": F.lit("delete"), "seq": F.lit(1)})
     ledger.commit(2, revised.unionByName(deleted))
-    return ledger.totals()
+    return ledger.history()
 
 
 def document_path() -> Column:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fixtures import documents, empty, pairs, sample
@@ -71,11 +72,40 @@ def test_query_against_plain_sums(spark, sf_dir):
     whole = Tokenizer.from_file(PATH)
     rows = sample(spark, sf_dir).orderBy("doc_id").collect()
     seen, want = set(), {}
+
+    def add(batch, r, n):
+        key = (batch, r["source"], r["lang"], "word_bpe_49k")
+        d, k = want.get(key, (0, 0))
+        want[key] = (d + 1, k + n)
+
     for r in rows:
+        n = len(whole.encode(r["text"], add_special_tokens=False).ids)
+        add(1, r, n)
         if r["text"] not in seen:
             seen.add(r["text"])
-            key = (r["source"], r["lang"], "word_bpe_49k")
-            d, n = want.get(key, (0, 0))
-            want[key] = (d + 1, n + len(whole.encode(r["text"], add_special_tokens=False).ids) + 1)
-    got = {tuple(r)[:3]: tuple(r)[3:] for r in QUERIES["op6_token_counts"](spark, sf_dir).collect()}
+            add(2, r, n + 1)
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in QUERIES["op6_token_counts"](spark, sf_dir).collect()}
     assert got == want
+
+
+def test_shared_ids_count_each_text(spark):
+    whole = Tokenizer.from_file(PATH)
+    texts = [(None, f"text {i % 400} without an id") for i in range(500)] + [(5, "one"), (5, "another two"), (5, "one"), (6, "one")]
+    counted = token_counts(documents(spark, texts), PATH)
+    assert {r["_id"]: r["_part"] for r in counted.collect()}[6] == 0
+    ledger = TokenLedger(spark, shared_folder(spark, "test-shared"))
+    ledger.commit(1, counted.withColumns({"tokenizer": F.lit("t"), "op": F.lit("insert"), "seq": F.lit(0)}))
+    sums = [sum(x) for x in zip(*totals(ledger).values())]
+    assert sums == [403, sum(len(whole.encode(t, add_special_tokens=False).ids) for _, t in set(texts))]
+
+
+def test_a_commit_reads_the_last_standing_only(spark, monkeypatch):
+    ledger = TokenLedger(spark, shared_folder(spark, "test-standing"))
+    for b in range(1, 5):
+        read = []
+        plain = TokenLedger._read
+        monkeypatch.setattr(ledger, "_read", lambda kind, schema, batches: read.append((kind, batches)) or plain(ledger, kind, schema, batches))
+        ledger.commit(b, spark.createDataFrame([(b, "t", "insert", "a", "en", 4, 0), (1, "t", "revise", "a", "en", b, 0)], CHANGES))
+        assert read == [("events", [b]), ("standing", [b - 1] if b > 1 else [])]
+    got = {r["batch"]: (r["n_docs"], r["n_tokens"]) for r in ledger.history().collect()}
+    assert got[4] == (4, 4 + 12) and got[2] == (2, 2 + 4) and totals(ledger) == {("a", "en", "t"): got[4]}
