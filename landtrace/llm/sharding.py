@@ -13,9 +13,10 @@ larger. Repeated rows are placed each, beside each other. An empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landtrace.llm.common import outer_id, row_id, settle
@@ -36,12 +37,21 @@ def default_dimensions() -> dict[str, Column]:
     }
 
 
+def _table(spark: SparkSession, rows: Sequence[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A row per node, sent as Arrow: from tuples Spark would start Python on the executors to read them."""
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)}))
+
+
+LONG, DOUBLE = pa.int64(), pa.float64()
+
+
 def _cuts(points: DataFrame, nodes: DataFrame) -> dict[int, int]:
     """node -> code below which ``goal`` bytes lie, by histogram descent."""
     spark = points.sparkSession
     found = {r["node"]: (0, 0.0, r["goal"]) for r in nodes.collect()}
     for shift, _ in PASSES:
-        at = spark.createDataFrame([(n, p, b, g) for n, (p, b, g) in found.items()], "node long, prefix long, below double, goal double")
+        at = _table(spark, [(n, *f) for n, f in found.items()], node=LONG, prefix=LONG, below=DOUBLE, goal=DOUBLE)
         inside = points.join(F.broadcast(at), "node").filter(
             F.col("prefix") == (F.shiftright("code", shift + 16) if shift < 48 else F.lit(0)))
         bins = inside.groupBy("node", "below", "goal", F.shiftright("code", shift).alias("bin")).agg(F.sum("w").alias("w"))
@@ -56,7 +66,7 @@ def _cuts(points: DataFrame, nodes: DataFrame) -> dict[int, int]:
             h = r["hit"]
             found[r["node"]] = (h["bin"], float(h["upto"]) - float(h["w"]), found[r["node"]][2])
     # the group at the goal goes to the side that it leaves nearer to it
-    at = spark.createDataFrame([(n, p, b, g) for n, (p, b, g) in found.items()], "node long, code long, below double, goal double")
+    at = _table(spark, [(n, *f) for n, f in found.items()], node=LONG, code=LONG, below=DOUBLE, goal=DOUBLE)
     on = points.join(F.broadcast(at), ["node", "code"]).groupBy("node").agg(F.sum("w").alias("w"), F.max("below").alias("b"), F.max("goal").alias("g"))
     cuts = {n: p for n, (p, _, _) in found.items()}
     for r in on.collect():
@@ -71,7 +81,7 @@ def kd_tree(groups: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
     points = groups.withColumn("node", F.lit(0).cast("long"))
     todo = {0: leaves}  # first shard of the node -> shards to make of it
     while any(k > 1 for k in todo.values()):
-        open_nodes = spark.createDataFrame([(n, k) for n, k in todo.items() if k > 1], "node long, k long")
+        open_nodes = _table(spark, [(n, k) for n, k in todo.items() if k > 1], node=LONG, k=LONG)
         extent = points.join(F.broadcast(open_nodes), "node").groupBy("node").agg(
             F.max("k").alias("k"), F.sum("w").alias("w"),
             *[(F.max(d) - F.min(d)).alias(d) for d in dimensions])
@@ -80,14 +90,14 @@ def kd_tree(groups: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
                 for r in extent.select("node", "k", "w", widest.alias("d")).collect()]
         if not plan:
             break
-        cut_by = spark.createDataFrame(plan, "node long, d int, goal double")
+        cut_by = _table(spark, plan, node=LONG, d=pa.int32(), goal=DOUBLE)
         value = F.get(F.array(*dimensions), F.col("d") - 1)
         code = F.shiftleft(F.round(value * ((1 << 31) - 1)).cast("long"), 32) + F.pmod(F.col("g"), F.lit(1 << 32))
         coded = settle(points.join(F.broadcast(cut_by), "node", "left").select(
             *groups.columns, "node", F.when(F.col("d").isNotNull(), code).alias("code")))
         cuts = _cuts(coded, cut_by)
         right = {n: -(-todo[n] // 2) for n in cuts}
-        lines = spark.createDataFrame([(n, c, n + right[n]) for n, c in cuts.items()], "node long, cut long, upper long")
+        lines = _table(spark, [(n, c, n + right[n]) for n, c in cuts.items()], node=LONG, cut=LONG, upper=LONG)
         points = settle(coded.join(F.broadcast(lines), "node", "left").select(
             *groups.columns, F.when(F.col("code") >= F.col("cut"), F.col("upper")).otherwise(F.col("node")).alias("node")))
         todo = {m: k for n, whole in todo.items() for m, k in (

@@ -3,10 +3,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fixtures import documents, empty, sample
-from landtrace.llm.sharding import kd_shards, kd_tree
+from landtrace.llm.sharding import _table, kd_shards, kd_tree
 
 
 def check(docs, rows, shards):
@@ -70,3 +71,12 @@ def test_tree_against_recursion(spark):
     for leaves in (2, 3, 8):
         got = {r["g"]: r["shard"] for r in kd_tree(groups, ["a", "b"], leaves).select("g", F.col("shard")).collect()}
         assert got == cut(points, leaves)
+
+
+def test_node_tables_need_no_python_workers(spark):
+    """Small tables of nodes are sent as Arrow, so nothing reads Python rows on the executors."""
+    df = _table(spark, [(1, 2.5), (7, 0.5)], node=pa.int64(), goal=pa.float64())
+    assert df.dtypes == [("node", "bigint"), ("goal", "double")] and sorted(map(tuple, df.collect())) == [(1, 2.5), (7, 0.5)]
+    assert _table(spark, [], node=pa.int64()).count() == 0
+    lineage = df._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" not in lineage and "SerDeUtil" not in lineage
