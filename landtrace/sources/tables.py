@@ -29,15 +29,18 @@ def write_tiles(
 ) -> None:
     """Hive-partitioned write; a folder exists only for groups that have rows.
 
-    The ``rebalance`` hint clusters rows by the partition columns, so that a tile is not
-    written in pieces by every task. Adaptive execution then splits the tiles that are too
-    heavy for one task and joins the light ones. Overwriting replaces the groups that ``df`` has
-    and leaves all others, so a tile can be run again by itself.
+    Rows are dealt by ranges of the partition columns, so that a tile is not written in pieces by
+    every task, into ``spark.sql.shuffle.partitions`` tasks whatever their bytes: small tiles cost by the
+    folder. Equal tiles are told apart by a hash of the row, so a heavy one is split. Files go to their staging
+    folders as tasks end (version 2), and whole groups to ``path`` when all are there. Overwriting replaces the groups
+    that ``df`` has and leaves all others, so a tile can be run again by itself.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.hint("rebalance", *[F.col(c) for c in by])
+        df.repartitionByRange(tasks, *by, F.xxhash64(*df.columns))
         .write.mode(mode).option("maxRecordsPerFile", max_records)
         .option("partitionOverwriteMode", "dynamic")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .partitionBy(*by).parquet(path)
     )
 

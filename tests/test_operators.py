@@ -210,6 +210,17 @@ def test_tile_write_prunes_partitions(spark):
         (1, "0"), (2, "1"), (3, "2"), (4, "3")]
 
 
+def test_light_tiles_are_written_by_many_tasks(spark):
+    """Folders cost time, not bytes: tiles of a few rows are not left to one task."""
+    path = scratch_path(spark, "light")
+    df = spark.range(400).select(
+        F.col("id").alias("cell_id"), (F.col("id") % 80).cast("int").alias("tile_id"), F.lit(None).cast("int").alias("agri_cycle"))
+    tables.write_tiles(df, path, ("tile_id", "agri_cycle"))
+    names = catalog.list_files(spark, path, "*.parquet").select(F.regexp_extract("path", "part-([0-9]+)", 1).alias("t"))
+    assert names.distinct().count() >= 6
+    assert rows(tables.read_table(spark, path).select("cell_id", "tile_id", "agri_cycle")) == rows(df)
+
+
 def test_one_tile_run_again_keeps_the_rest(spark):
     path = scratch_path(spark, "again")
     df = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") % 4).cast("int").alias("tile_id"))
