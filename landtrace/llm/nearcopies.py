@@ -1,13 +1,15 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, by prefix filtering: if the shingles of all sets stand in one common order, two sets that are
-similar enough share one of the first ``n - ceil(0.8 n) + 1`` shingles of either. By estimate, fingerprints at
-0.8 differ in 10 of 64 bits on average and often in more, too many to search by parts; so SimHash isn't
-used to find these pairs. Any order is right; the one here puts shingles that a sample of
+First by SimHash (``simhash``): links between fingerprints that differ in few bits, each confirmed by the sets.
+By estimate, fingerprints at 0.8 differ in 10 of 64 bits on average and often in more, too many to search by parts; so the
+pairs that SimHash leaves apart are looked for once more, by prefix filtering.
+
+That makes it exact: if the shingles of all sets stand in one common order, two sets that are
+similar enough share one of the first ``n - ceil(0.8 n) + 1`` shingles of either. Any order is right; the one here puts shingles that a sample of
 the texts repeats last, and so keeps common ones out of the prefixes. A shared shingle's place bounds
 what two sets can share, which spares most comparisons; all other candidates are compared in full.
 
-Only components are needed, so documents that share a shingle are first compared with one of them, in
+Only components are needed, so documents that share a shingle and that SimHash left apart are first compared with one of them, in
 ``STARS`` turns; what is still apart after that meets pair by pair, in tasks of two blocks where many share the
 shingle. Before any text moves, each candidate pair is held against a sketch of both sets: the number of shingles in each of up to
 ``BINS`` bins. The smaller numbers of all bins, added up, are the most that two sets can share, so no
@@ -24,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landtrace.llm.common import keyed, packed, settle, ship
 from landtrace.llm.components import components
+from landtrace.llm.simhash import fingerprint, links
 
 WORDS = 5
 SIMILARITY = (4, 5)
@@ -39,6 +42,7 @@ MIDDLES = 4  # in a turn, members that share many shingles meet about so many ot
 BINS = 4096
 CROWD = 64  # members of a shingle from which on pairs are formed inside tasks
 BLOCK = 512
+KEEP = 1_000_000  # keys that are broadcast at most
 KEY = ["_id", "_v"]
 DIGEST = ["_d1", "_d2"]
 
@@ -113,10 +117,11 @@ def _described(words: int, common: np.ndarray, place: np.ndarray, similarity: tu
                 digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 firsts = [prefix(s, common, place, similarity).view(np.int64) for s in sets]
                 sketches = pa.array([sketch(s) for s in sets], pa.binary())
+                prints = np.array([fingerprint(t.as_py() or b"") for t in some.column(2).cast(pa.binary())], "<u8")
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), some.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64())), sketches],
-                    [*KEY, *DIGEST, "_n", "_prefix", "_sketch"])
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64())), sketches,
+                    pa.array(prints.view("<i8"))], [*KEY, *DIGEST, "_n", "_prefix", "_sketch", "_fp"])
 
     return run
 
@@ -221,12 +226,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, s
     """The ``pairs`` (a, b) of nodes that are similar enough."""
     nodes = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
     needed = settle(rows.select(F.col("_row").alias("_node"), *KEY).join(nodes, "_node"))
-    found = settle(texts.join(needed, KEY).select("_node", "_text").dropDuplicates(["_node"]))
+    # texts stay where they are while the keys are few enough to be sent to them
+    keys = F.broadcast(needed) if needed.count() <= KEEP else needed
+    found = settle(texts.join(keys, KEY).select("_node", "_text").dropDuplicates(["_node"]))
     left, right = (found.select(F.col("_node").alias(c), F.col("_text").alias(t)) for c, t in (("a", "_x"), ("b", "_y")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").sortWithinPartitions("b")
     return settle(both.mapInArrow(_similar(words, similarity), PAIR))
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (_row, _fp) that connect what SimHash links: equal fingerprints, and those within its distance."""
+    prints = settle(nodes.groupBy("_fp").agg(F.min("_row").alias("_node")))
+    equal = nodes.join(prints, "_fp").filter("_row <> _node").select(F.col("_node").alias("a"), F.col("_row").alias("b"))
+    return equal.unionByName(links(prints)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _star(buckets: DataFrame, turn: int) -> DataFrame:
     """Members ``x`` of each bucket with its middle ``y``, the same one in buckets of a kind that hold the same members."""
     chance = F.xxhash64(F.lit(turn), F.pmod("_s", F.lit(MIDDLES)), "_root")
@@ -240,14 +254,12 @@ def _paired(both: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         F.least("x._node", "y._node").alias("a"), F.greatest("x._node", "y._node").alias("b")).distinct()
 
 
-def _rest(buckets: DataFrame, rows: DataFrame, tested: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
+def _rest(buckets: DataFrame, rows: DataFrame, tested: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of all that still lie apart in a bucket."""
     sizes = buckets.groupBy("_s").agg(F.count("*").alias("_k"))
     few = buckets.join(sizes.filter(F.col("_k") <= CROWD).select("_s"), "_s", "left_semi")
     one, two = (few.select("_s", F.struct("_node", "_n", "_pos", "_root").alias(c)) for c in "xy")
-    pairs = _paired(one.join(two, "_s").filter("x._node < y._node"), similarity)
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = _paired(one.join(two, "_s").filter("x._node < y._node"), similarity).join(tested, ["a", "b"], "left_anti")
     pairs = _sketched(pairs, rows, similarity)
 
     many = buckets.join(sizes.filter(F.col("_k") > CROWD).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK)), "_s")
@@ -256,18 +268,21 @@ def _rest(buckets: DataFrame, rows: DataFrame, tested: DataFrame | None, similar
     many = many.join(rows.select(F.col("_row").alias("_node"), "_sketch"), "_node").select(
         "_s", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
         "_node", "_n", "_pos", "_root", "_block", "_sketch")
-    crowded = many.groupBy("_s", "_i", "_j").applyInArrow(_in_blocks(similarity), PAIR).distinct()
-    if tested is not None:
-        crowded = crowded.join(tested, ["a", "b"], "left_anti")
+    crowded = many.groupBy("_s", "_i", "_j").applyInArrow(_in_blocks(similarity), PAIR).distinct().join(tested, ["a", "b"], "left_anti")
     return pairs.unionByName(crowded).distinct()
 
 
-def _rooted(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Buckets that lie in more than one component, with ``_root`` for each node."""
-    rows = buckets.join(components(edges), F.col("_node") == F.col("node"), "left").select(
-        "_s", "_node", "_n", "_pos", F.coalesce("root", "_node").alias("_root"))
-    apart = rows.groupBy("_s").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).filter("_a <> _b").select("_s")
-    return settle(rows.join(apart, "_s", "left_semi"))
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with the component of ``_node`` as ``_root``."""
+    return nodes.join(components(edges), F.col("_node") == F.col("node"), "left").select(
+        *nodes.columns, F.coalesce("root", "_node").alias("_root"))
+
+
+def _apart(places: DataFrame) -> DataFrame:
+    """Buckets that lie in more than one component. A window, as an aggregate and a join would move the places twice."""
+    bucket = Window.partitionBy("_s")
+    ends = places.withColumns({"_a": F.min("_root").over(bucket), "_b": F.max("_root").over(bucket)})
+    return settle(ends.filter("_a <> _b").select("_s", "_node", "_n", "_pos", "_root"))
 
 
 def near_copies(
@@ -277,29 +292,22 @@ def near_copies(
     """(_id, _v, _root): each row's key and its component, which is a number."""
     texts = keyed(docs, id_col, text_col)
     common, place = _common(texts, words)
-    kinds = "_id long, _v long, _d1 long, _d2 long, _n long, _prefix array<long>, _sketch binary"
+    kinds = "_id long, _v long, _d1 long, _d2 long, _n long, _prefix array<long>, _sketch binary, _fp long"
     rows = settle(texts.mapInArrow(_described(words, common, place, similarity), kinds).withColumn(
         "_row", F.monotonically_increasing_id()))
     nodes = settle(rows.groupBy(*DIGEST).agg(F.min("_row").alias("_node")))
-    single = rows.join(nodes.select("_node"), F.col("_row") == F.col("_node"), "left_semi")
-    places = single.select(F.col("_row").alias("_node"), "_n", F.posexplode("_prefix").alias("_pos", "_s"))
-    shared = places.groupBy("_s").agg(F.count("*").alias("_k")).filter("_k > 1").select("_s")
-    buckets = settle(places.join(shared, "_s", "left_semi").withColumn("_root", F.col("_node")))
-
-    edges = tested = None
+    tested = settle(fingerprint_pairs(rows.select("_row", "_fp").join(nodes.select(F.col("_node").alias("_row")), "_row")))
+    edges = _verified(settle(_sketched(tested, rows, similarity)), rows, texts, words, similarity)
+    rooted = settle(_rooted(nodes.select("_node"), edges))
+    places = rows.select(F.col("_row").alias("_node"), "_n", "_prefix").join(rooted, "_node")
+    buckets = _apart(places.select("_node", "_n", "_root", F.posexplode("_prefix").alias("_pos", "_s")))
     for turn in range(STARS):
-        pairs = _paired(_star(buckets, turn), similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _verified(settle(_sketched(pairs, rows, similarity)), rows, texts, words, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        buckets = _rooted(buckets, edges)
-    found = _verified(settle(_rest(buckets, rows, tested, similarity)), rows, texts, words, similarity)
-    edges = found if edges is None else edges.unionByName(found)
-    placed = nodes.join(components(edges), F.col("_node") == F.col("node"), "left").select(
-        *DIGEST, F.coalesce("root", "_node").alias("_root"))
+        pairs = settle(_paired(_star(buckets, turn), similarity).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        edges = edges.unionByName(_verified(settle(_sketched(pairs, rows, similarity)), rows, texts, words, similarity))
+        buckets = _apart(_rooted(buckets.drop("_root"), edges))
+    edges = edges.unionByName(_verified(settle(_rest(buckets, rows, tested, similarity)), rows, texts, words, similarity))
+    placed = _rooted(nodes, edges).select(*DIGEST, "_root")
     return rows.select(*KEY, *DIGEST).join(placed, DIGEST).select(*KEY, "_root")
 
 

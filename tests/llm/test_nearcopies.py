@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fixtures import documents, empty, order, pairs, sample
 from landtrace.llm import nearcopies
 from landtrace.llm.nearcopies import keep_one_of_each, most_shared, prefix, sketch
+from landtrace.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -85,6 +87,11 @@ def test_odd_rows_and_sample(spark, sf_dir):
     assert keep_one_of_each(docs).schema == docs.schema
 
 
+def test_many_keys_meet_their_texts_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "KEEP", 0)
+    check(documents(spark))
+
+
 def test_rows_without_an_id_all_stay(spark):
     texts = [(None, " ".join(f"n{k}w{i}" for i in range(30))) for k in range(20)]
     texts += [(7, " ".join(f"s{k}w{i}" for i in range(30))) for k in range(5)]
@@ -93,6 +100,28 @@ def test_rows_without_an_id_all_stay(spark):
     assert Counter(pairs(corpus_pipeline.near_dedup(spark, docs, ""))) == Counter(texts[:25])
 
 
+def test_stage_searches_by_fingerprint(spark, monkeypatch):
+    """SimHash finds the copies it can by itself, and what it links is confirmed by the sets."""
+    rng = random.Random(9)
+    base = [[f"f{k}w{rng.randrange(10**6)}" for _ in range(400)] for k in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base] + ["near", "far"]
+    linked = []
+    real = nearcopies.links
+
+    def links(prints):
+        linked.append(prints.count())
+        return real(prints).unionByName(prints.limit(1).select(F.col("_node").alias("a"), (F.col("_node") * 0).alias("b")))
+
+    monkeypatch.setattr(nearcopies, "links", links)
+    monkeypatch.setattr(nearcopies, "STARS", 0)
+    monkeypatch.setattr(nearcopies, "_rest", lambda buckets, rows, tested, similarity: tested.limit(0))
+    docs = documents(spark, list(enumerate(texts)))
+    kept = Counter(pairs(corpus_pipeline.near_dedup(spark, docs, "")))
+    near = [k for k in range(12) if (fingerprint(texts[k].encode()) ^ fingerprint(texts[k + 12].encode())).bit_count() <= 4]
+    assert linked and len(near) > 6
+    assert kept == Counter((k, t) for k, t in enumerate(texts) if k - 12 not in near)
+
+
 def test_prefix_puts_common_shingles_last():
     shingles = np.arange(1, 11, dtype=np.uint64)
     common, place = np.array([1, 3], np.uint64), np.array([2, 1])
