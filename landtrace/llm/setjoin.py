@@ -41,6 +41,7 @@ WORDS = 4
 SIMILARITY = (85, 100)
 GROWTH = 1.6  # of a band's sizes
 WEIGHT = 500_000  # shingles in a block
+MEETING = 4  # what two sets that meet cost, in entries
 KEEP = 1_000_000  # ids that are broadcast at most
 PROBE, EXACT, DOUBLE, STRICT = 1, 2, 4, 8  # flags of an entry
 
@@ -92,18 +93,24 @@ def _excess(mean: float, spared: int) -> float:
 
 def allocate(band: int, low: int, high: int, docs: float, similarity: tuple[int, int]) -> Scheme:
     """The cheapest scheme for sets of ``low`` to ``high`` members: entries, and pairs of unrelated sets that meet in
-    segments with next to nothing in them, which counts ``docs`` squared."""
+    segments with next to nothing in them, which counts ``docs`` squared. Most of these are met by the scheme's smallest sets, which
+    lie below ``low``: they enter as partners, about as many for their range of sizes as the band has for its own."""
+    num, den = similarity
     apart = most_apart(high, similarity)
+    partners = min(1.0, math.log(den / num) / math.log(high / (low - 1))) if low > 1 else 0.0
     best = None
-    for spare in sorted({s for s in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, apart // 16, apart // 8) if s <= apart + 1}):
+    for spare in sorted({s for s in (*range(13), 16, 20, 24, apart // 16, apart // 8) if s <= apart + 1}):
         units = apart + 1 + spare
         for deep in sorted({d for d in (0, 1, 2, 3, 4, units // 4, units // 2) if 2 * d <= units}):
-            share, skip = low / units, max(0, spare - 1)
+            skip = max(0, spare - 1)
             entries = units - deep + deep * 2 * high / units
-            plain, pair = math.exp(-share), math.exp(-2 * share) * (1 + 2 * share)
-            weak = (units - 2 * deep) * plain + 2 * deep * pair
-            meeting = docs * docs * _excess(weak, skip) * max(plain if units > 2 * deep else 0.0, pair if deep else 0.0)
-            cost = docs * entries + 2 * meeting
+            meeting = 0.0
+            for size, count in ((low, docs), (low * num / den, docs * partners)):
+                share = size / units
+                plain, pair = math.exp(-share), math.exp(-2 * share) * (1 + 2 * share)
+                weak = (units - 2 * deep) * plain + 2 * deep * pair
+                meeting += docs * count * _excess(weak, skip) * max(plain if units > 2 * deep else 0.0, pair if deep else 0.0)
+            cost = docs * (1 + partners) * entries + MEETING * meeting
             if best is None or cost < best[0]:
                 best = cost, Scheme(band, units, deep, skip, 2 if spare else 1)
     return best[1]
@@ -307,7 +314,7 @@ def _shared_entries(places: DataFrame) -> DataFrame:
 
 
 def _blocks(shared: DataFrame, sizes: DataFrame, weight: int) -> DataFrame:
-    """(_node, _home, _part, _block): nodes by the busiest set they share an entry with, in parts of about ``weight``
+    """(_node, _n, _home, _part, _block): nodes by the busiest set they share an entry with, in parts of about ``weight``
     shingles; ``_block`` is the part's smallest node."""
     busy = shared.groupBy("_node").agg(F.sum("_c").alias("_busy"))
     hubs = shared.select("_s", "_node").join(busy, "_node").groupBy("_s").agg(F.max(F.struct("_busy", "_node")).alias("_hub"))
@@ -315,25 +322,28 @@ def _blocks(shared: DataFrame, sizes: DataFrame, weight: int) -> DataFrame:
     homes = settle(homes.select("_node", "_n", F.col("_hub._node").alias("_home")))
     parts = homes.groupBy("_home").agg(F.ceil(F.sum("_n") / weight).cast("long").alias("_parts"))
     parted = homes.join(parts, "_home").select(
-        "_node", "_home", F.pmod(F.xxhash64("_node"), "_parts").alias("_part"))
+        "_node", "_n", "_home", F.pmod(F.xxhash64("_node"), "_parts").alias("_part"))
     firsts = parted.groupBy("_home", "_part").agg(F.min("_node").alias("_block"))
-    return settle(parted.join(firsts, ["_home", "_part"]).select("_node", "_home", "_part", "_block"))
+    return settle(parted.join(firsts, ["_home", "_part"]).select("_node", "_n", "_home", "_part", "_block"))
 
 
-def _meetings(shared: DataFrame, blocks: DataFrame) -> DataFrame:
+def _meetings(shared: DataFrame, blocks: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Groups (_g1, _g2, _node, _root, _side) of two blocks, with the nodes that still can be linked across them.
 
-    ``blocks``: (_node, _block, _root). A node belongs to the meeting if it shares entries of enough units with nodes of the
-    other block that have another root and search there.
+    ``blocks``: (_node, _n, _block, _root). A node belongs to the meeting if it shares entries of enough units with nodes of the
+    other block that have another root and a size that can be similar, and search there.
     """
-    placed = shared.select("_s", "_node", "_f").join(blocks.select("_node", "_block", "_root"), "_node")
+    num, den = similarity
+    placed = shared.select("_s", "_node", "_f").join(blocks.select("_node", "_n", "_block", "_root"), "_node")
     apart = placed.groupBy("_s").agg(
         F.min("_root").alias("r"), F.max("_root").alias("s"), F.min("_block").alias("x"), F.max("_block").alias("y"))
     placed = settle(placed.join(apart.filter("r <> s and x <> y").select("_s"), "_s", "left_semi"))
-    there = placed.groupBy("_s", F.col("_block").alias("_other")).agg(
-        F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.bit_or("_f").alias("_any"))
+    there = placed.filter(F.col("_f").bitwiseAND(PROBE) > 0).groupBy("_s", F.col("_block").alias("_other")).agg(
+        F.min("_root").alias("_r1"), F.max("_root").alias("_r2"), F.min("_n").alias("_n1"), F.max("_n").alias("_n2"),
+        F.bit_or("_f").alias("_any"))
     met = placed.join(there, "_s").filter("_block <> _other and (_r1 <> _root or _r2 <> _root)").filter(
-        (F.col("_any").bitwiseAND(PROBE) > 0) & (F.col("_any").bitwiseOR(F.col("_f")).bitwiseAND(EXACT) > 0))
+        (F.col("_n") * den >= F.col("_n1") * num) & (F.col("_n2") * den >= F.col("_n") * num)).filter(
+        F.col("_any").bitwiseOR(F.col("_f")).bitwiseAND(EXACT) > 0)
     strict = F.col("_f").bitwiseAND(STRICT) > 0
     units = F.when(F.col("_f").bitwiseAND(DOUBLE) > 0, 2).otherwise(1)
     enough = met.groupBy("_block", "_other", "_node", "_root", strict.alias("_strict")).agg(F.sum(units).alias("_units")).filter(
@@ -387,7 +397,7 @@ def jaccard_components(
     hubs = blocks.select(F.col("_home").alias("_g1"), F.col("_part").alias("_g2"), F.col("_home").alias("_node"))
     groups = own.unionByName(hubs).distinct().select("_g1", "_g2", "_node", F.col("_node").alias("_root"), F.lit(0).alias("_side"))
     found = _verified(groups, rows, texts, words, similarity)
-    rest = _meetings(shared, settle(_rooted(blocks, found)))
+    rest = _meetings(shared, settle(_rooted(blocks, found)), similarity)
     found = found.unionByName(_verified(rest, rows, texts, words, similarity))
 
     placed = settle(_rooted(nodes, found))

@@ -147,3 +147,29 @@ def test_linked_within_a_task():
     assert len(linked(sets, [0] * 4, [0, 1, 2, 3], (85, 100))) == 2
     assert linked(sets, [0, 0, 0, 0], [5, 5, 5, 6], (85, 100)) == []
     assert {frozenset(p) for p in linked(sets[:3], [0, 0, 1], [0, 1, 2], (95, 100))} == {frozenset({1, 2})}
+
+
+def test_smallest_sets_of_a_scheme_seldom_search_empty_segments():
+    """A scheme's smallest sets lie below its band; segments that are empty in them are empty in many others."""
+    rng = np.random.default_rng(6)
+    edges = band_edges(400, (85, 100))
+    plans = schemes(edges, [40_000.0] * len(edges), (85, 100))
+    for plan, low in zip(plans, edges):
+        if low < 80:
+            continue
+        empty = set(entries(np.empty(0, np.uint64), plan)[0].tolist())
+        searched = 0
+        for _ in range(2000):
+            keys, flags = entries(rng.integers(0, 1 << 63, -(-85 * (low + 1) // 100), dtype=np.uint64), plan)
+            searched += sum(1 for k, f in zip(keys.tolist(), flags.tolist()) if f & PROBE and k in empty)
+        assert searched <= 2
+
+
+def test_meetings_need_a_size_that_fits(spark):
+    """Nodes meet nodes of another block that search there and have another root and a size that can be similar."""
+    nodes = [(1, 100, 1), (2, 300, 1), (3, 110, 3), (4, 100, 3), (5, 1000, 3)]
+    shared = [(s, n, PROBE + EXACT if n in (1, 3) else EXACT, 5) for s in (7, 8) for n, *_ in nodes]
+    shared = spark.createDataFrame(shared, "_s long, _node long, _f byte, _c long")
+    blocks = spark.createDataFrame([(n, size, block, n) for n, size, block in nodes], "_node long, _n long, _block long, _root long")
+    groups = setjoin._meetings(shared, blocks, (85, 100)).select("_g1", "_g2", "_node", "_side").collect()
+    assert sorted(map(tuple, groups)) == [(1, 3, 1, 0), (1, 3, 3, 1), (1, 3, 4, 1)]
