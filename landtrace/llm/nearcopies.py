@@ -13,7 +13,8 @@ Only components are needed, so documents that share a shingle and that SimHash l
 ``STARS`` turns; what is still apart after that meets pair by pair, in tasks of two blocks where many share the
 shingle. Before any text moves, each candidate pair is held against a sketch of both sets: the number of shingles in each of up to
 ``BINS`` bins. The smaller numbers of all bins, added up, are the most that two sets can share, so no
-similar pair is lost and hardly any other is left. Texts of the pairs that are left move and are compared in full. Rows with the same set of shingles
+similar pair is lost and hardly any other is left. Texts of the pairs that are left move and are compared in full, in ``FIRSTS`` turns
+only a few pairs of each node, as many pairs of a large group then lie in one component and need no comparison. Rows with the same set of shingles
 are one node, whatever their ids. Words are lower-cased in ASCII; shingles are compared by 64-bit
 hashes, sets by 128-bit digests. A text with fewer words is one shingle; NULL, empty and blank texts have
 the empty set and are copies of each other. A NULL id comes first. An empty table gives an empty result. A very
@@ -38,6 +39,8 @@ SIMILARITY = (4, 5)
 SAMPLE = 20_000  # about so many texts give the order of common shingles, and so many shingles have a place in it
 COMMON = 100_000
 STARS = 2
+FIRSTS = 2  # turns in which some pairs of each node are compared before all that are left
+CHOICES = 4  # so many of a node
 MIDDLES = 4  # in a turn, members that share many shingles meet about so many others
 BINS = 4096
 CROWD = 64  # members of a shingle from which on pairs are formed inside tasks
@@ -285,6 +288,13 @@ def _apart(places: DataFrame) -> DataFrame:
     return settle(ends.filter("_a <> _b").select("_s", "_node", "_n", "_pos", "_root"))
 
 
+def _across(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that ``edges`` leave in different components."""
+    roots = settle(components(edges))
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab")
+    return pairs.join(left, "a", "left").join(right, "b", "left").filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     similarity: tuple[int, int] = SIMILARITY,
@@ -306,7 +316,13 @@ def near_copies(
         tested = tested.unionByName(pairs)
         edges = edges.unionByName(_verified(settle(_sketched(pairs, rows, similarity)), rows, texts, words, similarity))
         buckets = _apart(_rooted(buckets.drop("_root"), edges))
-    edges = edges.unionByName(_verified(settle(_rest(buckets, rows, tested, similarity)), rows, texts, words, similarity))
+    rest = settle(_rest(buckets, rows, tested, similarity))
+    for turn in range(FIRSTS):
+        some = [F.min_by("a", F.xxhash64(F.lit(turn * CHOICES + k), "a", "b")) for k in range(CHOICES)]
+        firsts = settle(rest.groupBy("b").agg(F.array_distinct(F.array(*some)).alias("a")).select(F.explode("a").alias("a"), "b"))
+        edges = edges.unionByName(_verified(firsts, rows, texts, words, similarity))
+        rest = settle(_across(rest.join(firsts, ["a", "b"], "left_anti"), edges))
+    edges = edges.unionByName(_verified(rest, rows, texts, words, similarity))
     placed = _rooted(nodes, edges).select(*DIGEST, "_root")
     return rows.select(*KEY, *DIGEST).join(placed, DIGEST).select(*KEY, "_root")
 

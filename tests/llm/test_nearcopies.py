@@ -140,3 +140,25 @@ def test_sketches_never_bound_too_low():
         assert most_shared(one, two[None, :])[0] >= len(np.intersect1d(x, y))
         assert most_shared(one, one[None, :])[0] == len(x)
     assert sketch(np.arange(300, dtype=np.uint64) * np.uint64(4096)) == b""
+
+
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Without SimHash and stars all pairs of a group are left; few per node are compared, and no link is lost."""
+    compared = []
+    verified = nearcopies._verified
+
+    def counting(found, *rest):
+        compared.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(nearcopies, "_verified", counting)
+    monkeypatch.setattr(nearcopies, "fingerprint_pairs", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(nearcopies, "STARS", 0)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1:]) for k in range(120)] + ["another text " + "x y z " * k for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nearcopies.near_copies(docs).collect()
+    roots = {r["_id"]: r["_root"] for r in found}
+    assert len(found) == len(texts) and len({roots[k] for k in range(120)}) == 1
+    assert roots[120] != roots[0]
+    assert sum(compared) <= 2 * nearcopies.CHOICES * 120
