@@ -15,7 +15,8 @@ from landtrace.operators.aggregates import histogram
 from landtrace.operators.cycles import band_join
 from landtrace.operators.refresh import merge_states, new_classes, state_cycles, summarize
 from landtrace.plans.conversion import conversion_cycles, extract_mask
-from landtrace.sources.tables import attach_bucketed, read_table, write_bucketed, write_tiles
+from landtrace.sources.scratch import scratch_path
+from landtrace.sources.tables import attach_bucketed, read_table, table_exists, write_bucketed, write_tiles
 from landtrace.spec import FOLLOW_UP_YEARS, ConversionSpec
 
 MASK, LENGTH, CLASSES, STATE = "mask_cells", "c_length", "c_classes", "c_state"
@@ -30,12 +31,17 @@ def store_conversions(panel: DataFrame, mask: DataFrame, spec: ConversionSpec, r
     """Conversions and follow-up classes of the panel's cells, by tile and conversion.
 
     ``panel`` may hold some tiles only; the tables keep their other tiles. The conversions are
-    found once: the classes are joined to the stored ones.
+    found once and kept in a few files of scratch space, from which the tiles are written and which the classes are joined to.
+    If there were tables before, the classes are joined to the stored conversions, which may be more.
     """
-    by = ("tile_id", "agri_cycle")
+    spark, length, by = panel.sparkSession, f"{root}/{LENGTH}", ("tile_id", "agri_cycle")
     tile = mask.select("cell_id", "tile_id")
-    write_tiles(conversion_cycles(panel, spec).join(tile, "cell_id"), f"{root}/{LENGTH}", by)
-    cycles = read_table(panel.sparkSession, f"{root}/{LENGTH}").join(panel.select("cell_id").distinct(), "cell_id", "left_semi")
+    first, kept = not table_exists(spark, length), scratch_path(spark, "found")
+    conversion_cycles(panel, spec).join(tile, "cell_id").write.parquet(kept)
+    cycles = read_table(spark, kept)
+    write_tiles(cycles, length, by)
+    if not first:
+        cycles = read_table(spark, length).join(panel.select("cell_id").distinct(), "cell_id", "left_semi")
     write_tiles(band_join(panel, cycles, spec.after).join(tile, "cell_id"), f"{root}/{CLASSES}", by)
 
 

@@ -13,7 +13,8 @@ from landtrace.functions.text import code_after, first_number, point_text, point
 from landtrace.operators import aggregates, composites, joins, panel, reshape, sampling, tiles
 from landtrace.operators.ids import surrogate_ids
 from landtrace.operators.sampling import hash_sample
-from landtrace.plans.conversion import conversion_cycles, select_candidate_cells
+from landtrace.plans import stored
+from landtrace.plans.conversion import conversion_classes, conversion_cycles, select_candidate_cells
 from landtrace.plans.validation import compare_measures, error_quantile_bands, validation_metrics
 from landtrace.sources import catalog, csvfiles, tables
 from landtrace.sources.scratch import scratch_path
@@ -230,6 +231,45 @@ def test_one_tile_run_again_keeps_the_rest(spark):
     assert counts == {0: 10, 1: 10, 2: 5, 3: 10}
 
 
+def test_a_new_tile_table_has_no_checksum_files_and_leaves_nothing_beside_it(spark, tmp_path):
+    """On a local disk each file cost several processes, for its rights and for those of a checksum file."""
+    df = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") % 4).cast("int").alias("tile_id"))
+    tables.write_tiles(df, f"{tmp_path}/mask")
+    assert rows(tables.read_table(spark, f"{tmp_path}/mask")) == rows(df)
+    assert [p.name for p in tmp_path.iterdir()] == ["mask"]
+    assert len(list(tmp_path.glob("mask/*/*.parquet"))) >= 4 and not list(tmp_path.glob("mask/**/*.crc"))
+
+
+def test_a_table_that_another_writer_named_first_is_kept(spark, tmp_path, monkeypatch):
+    first = spark.createDataFrame([(1, 1), (2, 2)], "cell_id int, tile_id int")
+    tables.write_tiles(first, f"{tmp_path}/mask")
+    monkeypatch.setattr(tables, "table_exists", lambda *_: False)
+    tables.write_tiles(spark.createDataFrame([(3, 2), (4, 3)], "cell_id int, tile_id int"), f"{tmp_path}/mask")
+    assert rows(tables.read_table(spark, f"{tmp_path}/mask")) == [(1, 1), (3, 2), (4, 3)]
+    assert [p.name for p in tmp_path.iterdir()] == ["mask"]
+
+
+def test_conversions_are_stored_without_reading_their_tiles_again(spark, tmp_path, monkeypatch):
+    """The first run reads none of its small files; a run of one tile keeps the other, and uses what is stored."""
+    spec, root = ConversionSpec(), str(tmp_path)
+    series = {1: [3, 15, 39, 3, 15, 39], 2: [3, 39, 15, 15], 3: [3, 3, 41], 4: [15, 15]}
+    panel_ = spark.createDataFrame(
+        [(c, 2000 + i, k) for c, codes in series.items() for i, k in enumerate(codes)], "cell_id long, year int, class_code int")
+    mask = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8), (5, 8)], "cell_id long, tile_id int")
+    read = []
+    monkeypatch.setattr(stored, "read_table", lambda s, p: read.append(p) or tables.read_table(s, p))
+    stored.store_conversions(panel_, mask, spec, root)
+    assert f"{root}/{stored.LENGTH}" not in read
+    length, classes = (df.drop("tile_id") for df in stored.read_stored(spark, root))
+    want = conversion_cycles(panel_, spec), conversion_classes(panel_, spec)
+    assert rows(length) == rows(want[0].select(*length.columns)) and len(rows(length)) == 4
+    assert rows(classes) == rows(want[1].select(*classes.columns))
+    stored.store_conversions(panel_.filter("cell_id = 3"), mask, spec, root)
+    length, classes = (df.drop("tile_id") for df in stored.read_stored(spark, root))
+    assert rows(length) == rows(want[0].select(*length.columns))
+    assert rows(classes) == rows(want[1].select(*classes.columns))
+
+
 def test_catalogue_has_a_tile_once_however_many_files(spark):
     path = scratch_path(spark, "files")
     df = spark.range(400).select(F.col("id").alias("cell_id"), (F.col("id") % 3 + 7).cast("int").alias("tile_id"))
