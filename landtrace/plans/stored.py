@@ -16,7 +16,7 @@ from landtrace.operators.cycles import band_join
 from landtrace.operators.refresh import merge_states, new_classes, state_cycles, summarize
 from landtrace.plans.conversion import conversion_cycles, extract_mask
 from landtrace.sources.scratch import scratch_path
-from landtrace.sources.tables import attach_bucketed, read_table, table_exists, write_bucketed, write_tiles
+from landtrace.sources.tables import attach_bucketed, read_table, read_tiles, table_exists, write_bucketed, write_tiles
 from landtrace.spec import FOLLOW_UP_YEARS, ConversionSpec
 
 MASK, LENGTH, CLASSES, STATE = "mask_cells", "c_length", "c_classes", "c_state"
@@ -41,13 +41,13 @@ def store_conversions(panel: DataFrame, mask: DataFrame, spec: ConversionSpec, r
     cycles = read_table(spark, kept)
     write_tiles(cycles, length, by)
     if not first:
-        cycles = read_table(spark, length).join(panel.select("cell_id").distinct(), "cell_id", "left_semi")
+        cycles = read_tiles(spark, length).join(panel.select("cell_id").distinct(), "cell_id", "left_semi")
     write_tiles(band_join(panel, cycles, spec.after).join(tile, "cell_id"), f"{root}/{CLASSES}", by)
 
 
 def read_stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(c_length, c_classes) as stored."""
-    return read_table(spark, f"{root}/{LENGTH}"), read_table(spark, f"{root}/{CLASSES}")
+    return read_tiles(spark, f"{root}/{LENGTH}"), read_tiles(spark, f"{root}/{CLASSES}")
 
 
 def store_by_cell(frames: Mapping[str, DataFrame], root: str, prefix: str, buckets: int = 200) -> None:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-# Hadoop starts a process for the rights of each folder and file on a local disk, and more for a checksum file beside each.
-# These files are small and many, and Parquet pages have checksums of their own. Other file systems don't read this.
-LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+from landtrace.sources import tilefiles
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -24,6 +20,17 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """``read_table`` of many folders, listed by a few tasks for each core where Spark would start up to 10,000."""
+    key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(tasks))
+    try:
+        return read_table(spark, path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_single(df: DataFrame, path: str) -> None:
     """Write a small table (tile metadata) as one file."""
     df.repartition(1).write.mode("overwrite").parquet(path)
@@ -37,45 +44,29 @@ def write_tiles(
 
     Rows are dealt by ranges of the partition columns, so that a tile is not written in pieces by
     every task, into ``spark.sql.shuffle.partitions`` tasks whatever their bytes: small tiles cost by the
-    folder. Equal tiles are told apart by a hash of the row, so a heavy one is split. A table that isn't there yet is
-    written beside its place, its files moved by whole tiles, and named when all are there. In a table that is there,
-    overwriting replaces the groups that ``df`` has and leaves all others, so a tile can be run again by itself.
+    folder. Equal tiles are told apart by a hash of the row, so a heavy one is split. On a local disk tasks make the files
+    of plain columns themselves (``tilefiles``). Elsewhere files go to their staging folders as tasks end (version 2). Whole
+    groups go to ``path`` when all are there. Overwriting replaces the groups that ``df`` has and leaves all others, so a
+    tile can be run again by itself.
     """
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = (
-        df.repartitionByRange(tasks, *by, F.xxhash64(*df.columns))
-        .write.option("maxRecordsPerFile", max_records)
-        .option("mapreduce.fileoutputcommitter.algorithm.version", "1")
-        .options(**LOCAL_FILES).partitionBy(*by)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, *by, F.xxhash64(*df.columns))
+    local = tilefiles.local_path(df.sparkSession, path)
+    if local and mode in ("overwrite", "append") and tilefiles.writable(df, by):
+        tilefiles.write_tiles(dealt, local, by, max_records, replace=mode == "overwrite")
+        df.sparkSession.catalog.refreshByPath(path)
+        return
+    (
+        dealt.write.mode(mode).option("maxRecordsPerFile", max_records)
+        .option("partitionOverwriteMode", "dynamic")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        .partitionBy(*by).parquet(path)
     )
-    if not table_exists(spark, path):
-        parent, name = path.rstrip("/").rsplit("/", 1)
-        beside = f"{parent}/_{name}-{uuid.uuid4().hex}"
-        writer.parquet(beside)
-        if _name_table(spark, beside, path):
-            return
-    writer.mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _file_system(spark, path)
-    return fs.exists(place)
-
-
-def _name_table(spark: SparkSession, written: str, path: str) -> bool:
-    """Move a whole new table to ``path``; False, and nothing left of it, if another writer was first."""
-    fs, place = _file_system(spark, path)
-    source = spark._jvm.org.apache.hadoop.fs.Path(written)
-    if not fs.exists(place) and fs.rename(source, place):
-        return True
-    fs.delete(source, True)
-    return False
-
-
-def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, by: str = "cell_id", buckets: int = 200) -> None:

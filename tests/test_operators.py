@@ -231,22 +231,32 @@ def test_one_tile_run_again_keeps_the_rest(spark):
     assert counts == {0: 10, 1: 10, 2: 5, 3: 10}
 
 
-def test_a_new_tile_table_has_no_checksum_files_and_leaves_nothing_beside_it(spark, tmp_path):
+def test_local_tiles_have_no_checksum_files_and_nothing_else_beside_them(spark, tmp_path):
     """On a local disk each file cost several processes, for its rights and for those of a checksum file."""
     df = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") % 4).cast("int").alias("tile_id"))
     tables.write_tiles(df, f"{tmp_path}/mask")
     assert rows(tables.read_table(spark, f"{tmp_path}/mask")) == rows(df)
-    assert [p.name for p in tmp_path.iterdir()] == ["mask"]
+    assert sorted(p.name for p in (tmp_path / "mask").iterdir()) == [f"tile_id={k}" for k in range(4)]
     assert len(list(tmp_path.glob("mask/*/*.parquet"))) >= 4 and not list(tmp_path.glob("mask/**/*.crc"))
 
 
-def test_a_table_that_another_writer_named_first_is_kept(spark, tmp_path, monkeypatch):
-    first = spark.createDataFrame([(1, 1), (2, 2)], "cell_id int, tile_id int")
-    tables.write_tiles(first, f"{tmp_path}/mask")
-    monkeypatch.setattr(tables, "table_exists", lambda *_: False)
-    tables.write_tiles(spark.createDataFrame([(3, 2), (4, 3)], "cell_id int, tile_id int"), f"{tmp_path}/mask")
-    assert rows(tables.read_table(spark, f"{tmp_path}/mask")) == [(1, 1), (3, 2), (4, 3)]
-    assert [p.name for p in tmp_path.iterdir()] == ["mask"]
+@pytest.mark.parametrize("extra", ["", ", timestamp'2020-02-03 04:05:06' as t, array(a, 1) as l"])
+def test_tiles_hold_all_values_and_nulls(spark, extra, tmp_path):
+    """By tasks' own files, and by Spark's where columns aren't plain."""
+    df = spark.sql(f"""select a, cast(a as double) / 0.7 as d, cast(a as float) as f, cast(a * 1.5 as decimal(18, 4)) as dec,
+        if(a % 2 = 0, concat('ä/', a), null) as s, a > 3 as b, date'2020-01-01' + cast(a as int) as day, cast(a as smallint) as sh,
+        cast(if(a % 5 = 0, null, a % 3 - 1) as int) as tile_id, if(a % 7 = 0, null, a % 2) as agri_cycle {extra}
+        from (select if(id = 11, null, id) as a from range(60) union all select id as a from range(3))""")
+    for times in (1, 2):
+        tables.write_tiles(df, f"{tmp_path}/t", ("tile_id", "agri_cycle"), max_records=2, mode="append")
+        back = tables.read_table(spark, f"{tmp_path}/t").select(df.columns)
+        assert rows(back) == sorted(rows(df) * times, key=str)
+    assert [f.dataType for f in back.schema][:8] == [f.dataType for f in df.schema][:8]
+    assert tables.read_table(spark, f"{tmp_path}/t").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] == 2
+    tables.write_tiles(df.filter("tile_id is null"), f"{tmp_path}/t", ("tile_id", "agri_cycle"))
+    counts = {r.tile_id: r["count"] for r in tables.read_table(spark, f"{tmp_path}/t").groupBy("tile_id").count().collect()}
+    want = {r.tile_id: r["count"] for r in df.groupBy("tile_id").count().collect()}
+    assert counts == {k: n if k is None else 2 * n for k, n in want.items()}
 
 
 def test_conversions_are_stored_without_reading_their_tiles_again(spark, tmp_path, monkeypatch):
@@ -257,7 +267,8 @@ def test_conversions_are_stored_without_reading_their_tiles_again(spark, tmp_pat
         [(c, 2000 + i, k) for c, codes in series.items() for i, k in enumerate(codes)], "cell_id long, year int, class_code int")
     mask = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8), (5, 8)], "cell_id long, tile_id int")
     read = []
-    monkeypatch.setattr(stored, "read_table", lambda s, p: read.append(p) or tables.read_table(s, p))
+    for name in ("read_table", "read_tiles"):
+        monkeypatch.setattr(stored, name, lambda s, p, f=getattr(tables, name): read.append(p) or f(s, p))
     stored.store_conversions(panel_, mask, spec, root)
     assert f"{root}/{stored.LENGTH}" not in read
     length, classes = (df.drop("tile_id") for df in stored.read_stored(spark, root))
@@ -270,6 +281,20 @@ def test_conversions_are_stored_without_reading_their_tiles_again(spark, tmp_pat
     assert rows(classes) == rows(want[1].select(*classes.columns))
 
 
+def test_many_tiles_are_listed_by_few_tasks(spark, tmp_path):
+    df = spark.range(150).select(F.col("id").alias("cell_id"), F.col("id").cast("int").alias("tile_id"))
+    tables.write_tiles(df, f"{tmp_path}/mask")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(key), spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    back = tables.read_tiles(spark, f"{tmp_path}/mask")
+    status = context.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism and spark.conf.get(key) == before
+    assert rows(back) == rows(df)
+
+
 def test_catalogue_has_a_tile_once_however_many_files(spark):
     path = scratch_path(spark, "files")
     df = spark.range(400).select(F.col("id").alias("cell_id"), (F.col("id") % 3 + 7).cast("int").alias("tile_id"))
