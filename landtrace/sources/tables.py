@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from landtrace.sources import tilefiles
 
@@ -20,17 +25,43 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """``read_table`` of many folders, listed by a few tasks for each core where Spark would start up to 10,000."""
+def read_tiles(spark: SparkSession, path: str, most: int = 2_000) -> DataFrame:
+    """``read_table`` of many tiles, as a union of reads of ``most`` tiles each if groups are whole numbers.
+
+    One read takes the square of its folders to tell their values, on the driver, and tries dates for each; the other
+    reads have the types of the first. Folders are listed by a few tasks for each core, where Spark would start up to 10,000.
+    """
     key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
     before = spark.conf.get(key)
     spark.conf.set(key, str(tasks))
     try:
-        return read_table(spark, path)
+        tiles = _tile_folders(spark, path)
+        if len(tiles) <= most or any(c in tile for tile in tiles for c in "{}[]*?\\"):
+            return read_table(spark, path)
+        reader = spark.read.option("basePath", path)
+        parts = [[f"{path}/{tile}" for tile in tiles[i:i + most]] for i in range(0, len(tiles), most)]
+        first = reader.parquet(*parts[0])
+        groups = first.schema.fields[first.columns.index(tiles[0].split("=")[0]):]
+        if not all(isinstance(f.dataType, (IntegerType, LongType)) for f in groups):
+            return read_table(spark, path)
+        try:
+            return reduce(DataFrame.union, [first, *[reader.schema(first.schema).parquet(*part) for part in parts[1:]]])
+        except (PySparkException, Py4JError):  # a value of another type than the first ones
+            return read_table(spark, path)
     finally:
         spark.conf.set(key, before)
 
 
+def _tile_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders of a partitioned table's first column."""
+    if local := tilefiles.local_path(spark, path):
+        names = os.listdir(local)
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return sorted(n for n in names if "=" in n and n[0] not in "._")
+
+
 def write_single(df: DataFrame, path: str) -> None:
     """Write a small table (tile metadata) as one file."""
     df.repartition(1).write.mode("overwrite").parquet(path)

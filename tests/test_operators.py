@@ -295,6 +295,18 @@ def test_many_tiles_are_listed_by_few_tasks(spark, tmp_path):
     assert rows(back) == rows(df)
 
 
+@pytest.mark.parametrize("odd", [0, None, 1 << 40, 9 << 40])
+def test_tiles_are_read_in_parts(spark, tmp_path, odd):
+    """Spark's time for one read grows with the square of its folders; parts have the same rows, types and pruning."""
+    tile = F.when(F.col("id") == 17, F.lit(odd)).otherwise(F.col("id") % 20).cast("long")
+    df = spark.range(60).select(F.col("id").alias("cell_id"), tile.alias("tile_id"), (F.col("id") % 3).cast("int").alias("agri_cycle"))
+    tables.write_tiles(df, f"{tmp_path}/t", ("tile_id", "agri_cycle"))
+    whole, parts = tables.read_table(spark, f"{tmp_path}/t"), tables.read_tiles(spark, f"{tmp_path}/t", most=6)
+    assert parts.schema == whole.schema and rows(parts) == rows(whole) and len(rows(whole)) == 60
+    plan = parts.filter("tile_id = 2 and agri_cycle = 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(tile_id") == (1 if odd == 9 << 40 else 4)
+
+
 def test_catalogue_has_a_tile_once_however_many_files(spark):
     path = scratch_path(spark, "files")
     df = spark.range(400).select(F.col("id").alias("cell_id"), (F.col("id") % 3 + 7).cast("int").alias("tile_id"))
